@@ -20,7 +20,7 @@ f AS (SELECT key, min(doc_id) AS first_doc FROM k GROUP BY key),
 g AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS pos FROM k JOIN f USING (key) WHERE first_doc < doc_id),
 r AS (SELECT doc_id, list(pos) AS gone, count(*) AS n_removed FROM g GROUP BY doc_id)
 SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed,
-  sha256(array_to_string(list_filter(words, (x, i) -> gone IS NULL OR NOT list_contains(gone, i)), ' ')) AS kept_sha256
+  sha256(array_to_string(list_filter(words, lambda x, i: gone IS NULL OR NOT list_contains(gone, i)), ' ')) AS kept_sha256
 FROM w LEFT JOIN r USING (doc_id)
 """
 
