@@ -6,6 +6,61 @@ from pyspark.sql import DataFrame, SparkSession
 
 from textloom.llm.common import table
 from textloom.llm.countmin_dedup import dedup_substrings
+from textloom.llm.decontaminate import contamination
+from textloom.llm.jaccard_join import jaccard_join
+from textloom.llm.packing import pack
+
+#: The vocabulary file of the packing query.
+TOKENIZER = "byte_bpe_50k.json"
+
+
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join(table(spark, sf_dir, "documents"), n=3, num=90, den=100)
+
+
+OP1_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+g AS (SELECT doc_id, unnest(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 3 THEN [array_to_string(words, ' ')]
+  ELSE list_distinct(list_transform(range(1, len(words) - 1), lambda i: array_to_string(words[i:i + 2], ' '))) END) AS gram FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * both >= 90 * (x.n + y.n - both)),
+e AS (SELECT a AS u, b AS v FROM l UNION ALL SELECT b, a FROM l),
+r AS (WITH RECURSIVE reach(s, t) AS (SELECT u, v FROM e UNION SELECT reach.s, e.v FROM reach JOIN e ON e.u = reach.t) SELECT s, min(t) AS least FROM reach GROUP BY s),
+f AS (SELECT w.doc_id, min(least) AS least FROM w LEFT JOIN r ON r.s = w.doc_id GROUP BY w.doc_id),
+k AS (SELECT u, count(*) AS n_links FROM e GROUP BY u),
+c AS (SELECT doc_id, list_sort(list(gram)) AS grams FROM g GROUP BY doc_id),
+d AS (SELECT grams, min(doc_id) AS class_id FROM c GROUP BY grams)
+SELECT f.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(d.class_id, f.doc_id) AS class_id, coalesce(k.n_links, 0)::BIGINT AS n_links, least(f.doc_id, coalesce(f.least, f.doc_id)) AS component_id
+FROM f LEFT JOIN n USING (doc_id) LEFT JOIN k ON k.u = f.doc_id LEFT JOIN c USING (doc_id) LEFT JOIN d USING (grams)
+"""
+
+
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP4_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM benchmark),
+bw AS (SELECT DISTINCT item_id, least(len(words), 10) AS size, array_to_string(words[i:i + 9], ' ') AS win
+  FROM (SELECT item_id, words, unnest(range(1, greatest(len(words) - 9, 1) + 1)) AS i FROM b WHERE len(words) > 0)),
+sizes AS (SELECT DISTINCT size FROM bw),
+dw AS (SELECT doc_id, size, i, array_to_string(words[i:i + size - 1], ' ') AS win
+  FROM (SELECT doc_id, words, size, unnest(range(1, len(words) - size + 2)) AS i FROM w, sizes WHERE len(words) >= size)),
+o AS (SELECT doc_id, dw.size, i, item_id FROM dw JOIN bw USING (size, win)),
+h AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + size)) AS pos FROM o) GROUP BY doc_id),
+t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM o) GROUP BY doc_id)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM w LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)
+"""
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,9 +80,14 @@ FROM w LEFT JOIN r USING (doc_id)
 """
 
 QUERIES = {
+    "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op4_benchmark_decontamination": op4_benchmark_decontamination,
+    "op5_packing": op5_packing,
     "op8_substring_dedup": op8_substring_dedup,
 }
 
 SQL = {
+    "op1_ngram_jaccard_join": OP1_SQL,
+    "op4_benchmark_decontamination": OP4_SQL,
     "op8_substring_dedup": OP8_SQL,
 }
