@@ -50,6 +50,13 @@ def as_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     return [x or b"" for x in column.cast(kind).to_pylist()]
 
 
-def with_shard(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, text and the shard that a document is dealt to; rows that are equal in both meet."""
-    return docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int").alias("shard"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+def without_ids(docs: DataFrame, ids: DataFrame, most: int = 200_000) -> DataFrame:
+    """Rows of docs whose doc_id is not among ids (doc_id; rows with a null doc_id stay). Broadcasts ids
+    only if they are few; beyond that both sides are dealt by doc_id."""
+    ids = materialize(ids.select("doc_id").where("doc_id IS NOT NULL").distinct(), "ids")
+    return docs.join(F.broadcast(ids) if ids.count() <= most else ids, "doc_id", "left_anti").select(*docs.columns)
+
+
+def with_shard(docs: DataFrame, n: int, *more) -> DataFrame:
+    """doc_id, text and the shard that a document is dealt to."""
+    return docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int").alias("shard"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)

@@ -27,8 +27,8 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import types as T
 
 from textloom.llm import hashing as H
 from textloom.llm.common import as_bytes, parts, with_shard
@@ -183,17 +183,14 @@ def group_exactly(t: pa.Table) -> pa.Table:
     return _rows(MESSAGE, out)
 
 
-RESULT = "doc_id long, kept_text string, n_words long, n_removed long, kept_sha256 string"
+RESULT = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("kept_text", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType())])
 
 
-def remove(t: pa.Table, replies: pa.Table, width: int, with_text: bool) -> pa.Table:
+def remove(t: pa.Table, replies: pa.Table, width: int, with_text: bool, carry: bool = False) -> pa.Table:
     """Documents without the words under windows that are known from a smaller doc_id."""
-    types = [("doc_id", pa.int64()), ("kept_text", pa.string()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())]
-    if not t.num_rows:
-        return pa.table({k: pa.array([], v) for k, v in types})
     texts, doc = as_bytes(t["text"]), _ids(t)
     h, owner, at = _windows(texts, width)
-    at = at[doc[owner[at]] != NO_ID]
+    at = at[doc[owner[at]] != NO_ID] if len(at) else at
     cover = np.zeros(len(h) + 1, np.int64)
     if len(at):
         a, b = _keys(h, at, width)
@@ -234,21 +231,23 @@ def remove(t: pa.Table, replies: pa.Table, width: int, with_text: bool) -> pa.Ta
         left = b" ".join(compress(raw.split(), ~gone))
         digests.append(hashlib.sha256(left).hexdigest())
         kept.append(left if with_text and removed[-1] else raw if with_text else None)
-    return pa.table({"doc_id": t["doc_id"].cast(pa.int64()), "kept_text": pa.array(kept, pa.binary()).cast(pa.string()), "n_words": pa.array(counts, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_sha256": pa.array(digests, pa.string())})
+    return pa.table({"doc_id": t["doc_id"].cast(pa.int64()), "kept_text": pa.array(kept, pa.binary()).cast(pa.string()), "n_words": pa.array(counts, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_sha256": pa.array(digests, pa.string()), **({"row": t["row"]} if carry else {})})
 
 
-def dedup_substrings(docs: DataFrame, width: int = WIDTH, depth: int = DEPTH, with_text: bool = True, shard_mb: float = SHARD_MB, slice_mb: float = SLICE_MB) -> DataFrame:
+def dedup_substrings(docs: DataFrame, width: int = WIDTH, depth: int = DEPTH, with_text: bool = True, carry: Column | None = None, shard_mb: float = SHARD_MB, slice_mb: float = SLICE_MB) -> DataFrame:
     """Remove each word covered by a window of `width` words that also starts in a smaller doc_id.
 
     Returns doc_id, kept_text (kept words joined by a space, the text itself where nothing is removed;
     null unless with_text), n_words, n_removed, kept_sha256 (of the kept words joined by a space).
-    Null text comes back as ''. See the module's text for nulls, ties and repeated rows.
+    carry: a column of docs that comes back, unchanged, as `row`. Null text comes back as ''. See the module's text for nulls, ties and repeated rows.
     """
     n_shards, n_slices = parts(docs, shard_mb), parts(docs, slice_mb)
     cells_log2 = min(60, max(16, (CELLS_PER_BYTE * max(1, min(1 << 58, n_shards * int(shard_mb * 1e6)))).bit_length()))
-    base = with_shard(docs, n_shards)
+    base = with_shard(docs, n_shards, *([] if carry is None else [carry.alias("row")]))
+    carried = carry is not None
+    result = RESULT if carry is None else T.StructType([*RESULT.fields, base.schema["row"]])
     sent = base.groupBy("shard").applyInArrow(lambda t: sketch(t, width, depth, n_slices, cells_log2), MESSAGE)
     bits = sent.groupBy("slice").applyInArrow(merge_sketches, MESSAGE)
     keys = base.groupBy("shard").cogroup(bits.groupBy("shard")).applyInArrow(lambda a, b: candidates(a, b, width, depth, n_slices, cells_log2), MESSAGE)
     found = keys.groupBy("slice").applyInArrow(group_exactly, MESSAGE)
-    return base.groupBy("shard").cogroup(found.groupBy("shard")).applyInArrow(lambda a, b: remove(a, b, width, with_text), RESULT)
+    return base.groupBy("shard").cogroup(found.groupBy("shard")).applyInArrow(lambda a, b: remove(a, b, width, with_text, carried), result)

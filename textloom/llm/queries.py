@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from textloom.llm.common import table
 from textloom.llm.countmin_dedup import dedup_substrings
 from textloom.llm.decontaminate import contamination
 from textloom.llm.jaccard_join import jaccard_join
+from textloom.llm.language_id import identify, train
 from textloom.llm.packing import pack
 
 #: The vocabulary file of the packing query.
@@ -23,8 +25,8 @@ WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCD
 g AS (SELECT doc_id, unnest(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 3 THEN [array_to_string(words, ' ')]
   ELSE list_distinct(list_transform(range(1, len(words) - 1), lambda i: array_to_string(words[i:i + 2], ' '))) END) AS gram FROM w),
 n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
-p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
-l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * both >= 90 * (x.n + y.n - both)),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= 90 * (x.n + y.n - shared)),
 e AS (SELECT a AS u, b AS v FROM l UNION ALL SELECT b, a FROM l),
 r AS (WITH RECURSIVE reach(s, t) AS (SELECT u, v FROM e UNION SELECT reach.s, e.v FROM reach JOIN e ON e.u = reach.t) SELECT s, min(t) AS least FROM reach GROUP BY s),
 f AS (SELECT w.doc_id, min(least) AS least FROM w LEFT JOIN r ON r.s = w.doc_id GROUP BY w.doc_id),
@@ -67,6 +69,12 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_substrings(table(spark, sf_dir, "documents"), with_text=False).drop("kept_text")
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents say their language in `lang`; their source is their host."""
+    docs = table(spark, sf_dir, "documents")
+    return identify(docs, train(docs), declared=F.col("lang"), host=F.col("source"))
+
+
 OP8_SQL = r"""
 WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
 s AS (SELECT doc_id, words, unnest(range(1, len(words) - 11)) AS i FROM w WHERE len(words) >= 13),
@@ -83,6 +91,7 @@ QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op5_packing": op5_packing,
+    "op7_language_id": op7_language_id,
     "op8_substring_dedup": op8_substring_dedup,
 }
 
