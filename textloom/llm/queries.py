@@ -11,6 +11,9 @@ from textloom.llm.decontaminate import contamination
 from textloom.llm.jaccard_join import jaccard_join
 from textloom.llm.language_id import identify, train
 from textloom.llm.packing import pack
+from textloom.llm.quality import quality_rules
+from textloom.llm.url_filter import filter_urls
+from textloom.llm.warc import round_trip
 
 #: The vocabulary file of the packing query.
 TOKENIZER = "byte_bpe_50k.json"
@@ -38,6 +41,10 @@ FROM f LEFT JOIN n USING (doc_id) LEFT JOIN k ON k.u = f.doc_id LEFT JOIN c USIN
 """
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(table(spark, sf_dir, "pages"))
+
+
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -65,10 +72,18 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents"))
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_substrings(table(spark, sf_dir, "documents"), with_text=False).drop("kept_text")
 
 
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(table(spark, sf_dir, "pages"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents say their language in `lang`; their source is their host."""
     docs = table(spark, sf_dir, "documents")
@@ -89,10 +104,13 @@ FROM w LEFT JOIN r USING (doc_id)
 
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op3_warc": op3_warc,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op5_packing": op5_packing,
+    "op6_url_filter": op6_url_filter,
     "op7_language_id": op7_language_id,
     "op8_substring_dedup": op8_substring_dedup,
+    "op9_quality_rules": op9_quality_rules,
 }
 
 SQL = {
