@@ -50,6 +50,21 @@ def as_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     return [x or b"" for x in column.cast(kind).to_pylist()]
 
 
+def pieces(batches, column: str = "text", mb: float = 8.0):
+    """The same rows in batches of about mb MB of a string column; a longer row is a batch of its own."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    for b in batches:
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        first = 0
+        while first < b.num_rows:
+            before = sizes[first - 1] if first else 0
+            last = max(first + 1, int(np.searchsorted(sizes, before + mb * 1e6, side="right")))
+            yield b.slice(first, last - first)
+            first = last
+
+
 def without_ids(docs: DataFrame, ids: DataFrame, most: int = 200_000) -> DataFrame:
     """Rows of docs whose doc_id is not among ids (doc_id; rows with a null doc_id stay). Broadcasts ids
     only if they are few; beyond that both sides are dealt by doc_id."""

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm import hashing as H
-from textloom.llm.common import as_bytes
+from textloom.llm.common import as_bytes, pieces
 
 WIDTH = 10
 SHINGLE = 3
@@ -84,7 +84,7 @@ def _count(block: Block):
 
     def counted(batches):
         total = {s: np.zeros(len(block.all[s]), np.int64) for s in block.sizes}
-        for b in batches:
+        for b in pieces(batches):
             h, owner = H.words([x.lower().translate(_GAP) for x in as_bytes(b.column("text"))])
             for s in block.sizes:
                 if len(h) >= s:
@@ -102,7 +102,7 @@ def _probe(block: Block, doc_type: pa.DataType):
     names = ["doc_id", "n_words", "hit_runs", "items", "row"]
 
     def probed(batches):
-        for b in batches:
+        for b in pieces(batches):
             texts = [x.lower().translate(_GAP) for x in as_bytes(b.column("text"))]
             h, owner = H.words(texts)
             counts = np.bincount(owner, minlength=len(texts)) if len(h) else np.zeros(len(texts), np.int64)

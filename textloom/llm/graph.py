@@ -2,12 +2,32 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm.common import materialize
 
 
+def spanning_forest(pairs: np.ndarray) -> np.ndarray:
+    """For edges that one task holds: an edge from each id to the smallest one of its component."""
+    pairs = np.asarray(pairs, np.int64).reshape(-1, 2)
+    ids, at = np.unique(pairs, return_inverse=True)
+    a, b = at.reshape(-1, 2).T
+    label = np.arange(len(ids))
+    while True:
+        before = label.copy()
+        np.minimum.at(label, a, before[b])
+        np.minimum.at(label, b, before[a])
+        np.minimum.at(label, before[a], label[b])
+        np.minimum.at(label, before[b], label[a])
+        label = label[label]
+        if (label == before).all():
+            break
+    far = label != np.arange(len(ids))
+    return np.stack([ids[far], ids[label[far]]], 1)
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """edges: src, dst long. Returns id, label (the smallest id reachable) for each id with an edge.
 

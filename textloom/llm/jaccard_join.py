@@ -33,8 +33,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm import hashing as H
-from textloom.llm.common import as_bytes, materialize, parts
-from textloom.llm.graph import connected_components
+from textloom.llm.common import as_bytes, materialize, parts, pieces
+from textloom.llm.graph import connected_components, spanning_forest
 
 U = np.uint64
 S1, S2, S3, S4 = U(0x243F6A8885A308D3), U(0x13198A2E03707344), U(0xA4093822299F31D0), U(0x082EFA98EC4E6C89)
@@ -113,7 +113,7 @@ def _describe(n: int, num: int, den: int, n_slices: int):
 
     def described(batches):
         turn = 0
-        for batch in batches:
+        for batch in pieces(batches):
             ids = [None if x is None else int(x) for x in batch.column("doc_id").to_pylist()]
             sets = ngram_sets(as_bytes(batch.column("text")), n)
             meta = np.zeros((len(ids), 5), np.int64)  # doc_id, is null, size, print
@@ -134,7 +134,7 @@ def _describe(n: int, num: int, den: int, n_slices: int):
             if prints:
                 key, doc = np.concatenate(prints), np.concatenate(owner)
                 key, doc, more = _first_of_each(key, doc)
-                edges += more
+                edges += [tuple(x) for x in more.tolist()]
                 at = H.slice_edges(key, n_slices)
                 rows += [(int(s), H.pack(key[at[s] : at[s + 1]]), H.pack_any(doc[at[s] : at[s + 1]]), 0) for s in np.flatnonzero(np.diff(at))]
             if edges:
@@ -153,8 +153,7 @@ def _first_of_each(key: np.ndarray, doc: np.ndarray):
     new[1:] = key[1:] != key[:-1]
     least = doc[new][np.cumsum(new) - 1]
     far = least != doc
-    pairs = np.unique(np.stack([doc[far], least[far]], 1), axis=0) if far.any() else np.zeros((0, 2), np.int64)
-    return key[new], doc[new], [tuple(x) for x in pairs.tolist()]
+    return key[new], doc[new], spanning_forest(np.stack([doc[far], least[far]], 1))
 
 
 def _meet(t: pa.Table) -> pa.Table:
@@ -171,8 +170,7 @@ def _meet(t: pa.Table) -> pa.Table:
             keys.append(H.unpack(a))
             docs.append(H.unpack_any(b))
     if keys:
-        _, _, pairs = _first_of_each(np.concatenate(keys), np.concatenate(docs))
-        e = np.array(pairs, np.int64).reshape(-1, 2)
+        _, _, e = _first_of_each(np.concatenate(keys), np.concatenate(docs))
         out.append(np.column_stack([np.ones(len(e), np.int64), e, np.zeros_like(e)]))
     all_ = np.concatenate(out) if out else np.zeros((0, 5), np.int64)
     return pa.table({"kind": pa.array(all_[:, 0].astype(np.int32)), **{k: pa.array(all_[:, i + 1]) for i, k in enumerate("abcd")}})
@@ -324,7 +322,7 @@ def _tokens(n: int):
     names = ["cluster", "block", "nb", "rep", "copies", "tokens"]
 
     def made(batches):
-        for b in batches:
+        for b in pieces(batches):
             sets = ngram_sets(as_bytes(b.column("text")), n)
             keep = [set_print(u) == (p, q) for u, p, q in zip(sets, b.column("p").to_pylist(), b.column("q").to_pylist())]
             mask = pa.array(keep, pa.bool_())

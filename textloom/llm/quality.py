@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm import hashing as H
-from textloom.llm.common import as_bytes
+from textloom.llm.common import as_bytes, pieces
 
 LEVEL = 3
 CHUNK = 2048
@@ -77,7 +77,7 @@ def compression(raw: bytes, compressor: zstandard.ZstdCompressor) -> tuple[float
 
 def _rules(batches):
     compressor = zstandard.ZstdCompressor(level=LEVEL)
-    for b in batches:
+    for b in pieces(batches):
         rows = []
         texts = as_bytes(b.column("text"))
         h, owner = H.words(texts)
