@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from textloom.llm.common import table
 from textloom.llm.countmin_dedup import dedup_substrings
 from textloom.llm.decontaminate import contamination
+from textloom.llm.html_extract import extract_text
 from textloom.llm.jaccard_join import jaccard_join
 from textloom.llm.language_id import identify, train
 from textloom.llm.packing import pack
@@ -90,6 +91,10 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, train(docs), declared=F.col("lang"), host=F.col("source"))
 
 
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
 OP8_SQL = r"""
 WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
 s AS (SELECT doc_id, words, unnest(range(1, len(words) - 11)) AS i FROM w WHERE len(words) >= 13),
@@ -111,6 +116,7 @@ QUERIES = {
     "op7_language_id": op7_language_id,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_quality_rules": op9_quality_rules,
+    "op10_html_extraction": op10_html_extraction,
 }
 
 SQL = {
