@@ -13,6 +13,7 @@ from textloom.llm.jaccard_join import jaccard_join
 from textloom.llm.language_id import identify, train
 from textloom.llm.packing import pack
 from textloom.llm.quality import quality_rules
+from textloom.llm.suffix_dedup import dedup_suffixes
 from textloom.llm.url_filter import filter_urls
 from textloom.llm.warc import round_trip
 
@@ -42,6 +43,10 @@ FROM f LEFT JOIN n USING (doc_id) LEFT JOIN k ON k.u = f.doc_id LEFT JOIN c USIN
 """
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_suffixes(table(spark, sf_dir, "documents"), with_bytes=False).drop("spans", "kept")
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "pages"))
 
@@ -109,6 +114,7 @@ FROM w LEFT JOIN r USING (doc_id)
 
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_warc": op3_warc,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op5_packing": op5_packing,
