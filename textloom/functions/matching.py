@@ -98,7 +98,7 @@ def is_match(column: Column | str, pattern: str | Pattern, **options) -> Column:
     test = _arrow(_guard(c, p), lambda t: engine.search(t) is not None, T.BooleanType(), pa.bool_())
     if not p.needed:
         return test
-    return _any_literal(c, "contains", p.needed) & F.coalesce(test, F.lit(False))
+    return _any_literal(c, "contains", p.needed) & F.coalesce(test, F.when(c.isNotNull(), F.lit(False)))
 
 
 def find(column: Column | str, pattern: str | Pattern, **options) -> Column:
