@@ -22,9 +22,16 @@ def size_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def parts(df: DataFrame, mb: float, least: int = 8) -> int:
-    """How many parts of about mb MB a DataFrame makes; the estimate of an unknown size is bounded."""
-    return max(least, math.ceil(min(size_bytes(df), 1 << 62) / (mb * 1e6)))
+UNKNOWN = 1 << 50
+
+
+def parts(df: DataFrame, mb: float, least: int = 8, text: str = "text") -> int:
+    """How many parts of about mb MB a DataFrame makes. Where Catalyst has no estimate, as for local
+    rows and for some joins, the bytes of its texts are summed, in one pass, and halved as if stored."""
+    size = size_bytes(df)
+    if size >= UNKNOWN:
+        size = (df.agg(F.sum(F.octet_length(text))).first()[0] or 0) // 2
+    return max(least, math.ceil(size / (mb * 1e6)))
 
 
 def shared_dir(spark: SparkSession) -> str:

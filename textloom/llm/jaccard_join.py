@@ -279,16 +279,20 @@ def _overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-LINKED = "rep long, parent long, n_links long"
+LINKED = "rep long, p long, parent long, n_links long"
 
 
 def _join_group(t: pa.Table, num: int, den: int) -> pa.Table:
     """All clusters (or pairs of blocks of one) of a group: for each set, its partial number of linked
     documents and a set that it is connected to."""
     where: dict[tuple, list[int]] = {}
-    for i, k in enumerate(zip(*(t[c].to_pylist() for c in ("cluster", "i", "j")))):
-        where.setdefault(k, []).append(i)
-    rep, copies, block = (t[c].to_numpy() for c in ("rep", "copies", "block"))
+    seen = set()
+    for i, (k, row) in enumerate(zip(zip(*(t[c].to_pylist() for c in ("cluster", "i", "j"))), zip(t["rep"].to_pylist(), t["p"].to_pylist()))):
+        if (k, row) not in seen:
+            seen.add((k, row))
+            where.setdefault(k, []).append(i)
+    # two sets may have the same representative, if rows share a doc_id; the set's print tells them apart
+    rep, print_, copies, block = (t[c].to_numpy() for c in ("rep", "p", "copies", "block"))
     tokens = t["tokens"]
     out: list[tuple] = []
     for (_, i, j), rows in where.items():
@@ -317,17 +321,22 @@ def _join_group(t: pa.Table, num: int, den: int) -> pa.Table:
                 p, q = find(p), find(q)
                 if p != q:
                     root[max(p, q)] = min(p, q)
-        out += [(int(rep[v]), int(rep[find(v)]), links[v]) for v in root]
-    return pa.table({k: pa.array([r[i] for r in out], pa.int64()) for i, k in enumerate(("rep", "parent", "n_links"))})
+        out += [(int(rep[v]), int(print_[v]), int(rep[find(v)]), links[v]) for v in root]
+    return pa.table({k: pa.array([r[i] for r in out], pa.int64()) for i, k in enumerate(("rep", "p", "parent", "n_links"))})
 
 
 def _tokens(n: int):
-    names = ["cluster", "block", "nb", "rep", "copies", "tokens"]
+    names = ["cluster", "block", "nb", "rep", "copies", "p", "tokens"]
 
     def made(batches):
+        sent = set()  # rows that repeat a document are sent once by a task
         for b in pieces(batches):
             sets = ngram_sets(as_bytes(b.column("text")), n)
-            keep = [set_print(u) == (p, q) for u, p, q in zip(sets, b.column("p").to_pylist(), b.column("q").to_pylist())]
+            keep = []
+            for u, rep, p, q in zip(sets, *(b.column(c).to_pylist() for c in ("rep", "p", "q"))):
+                keep.append(set_print(u) == (p, q) and (rep, p) not in sent)
+                if keep[-1]:
+                    sent.add((rep, p))
             mask = pa.array(keep, pa.bool_())
             cols = [b.column(c).filter(mask) for c in names[:-1]]
             yield pa.RecordBatch.from_arrays([*cols, pa.array([u.tobytes() for u, k in zip(sets, keep) if k], pa.binary())], names)
@@ -357,13 +366,14 @@ def jaccard_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, sli
     sized = materialize(sized, "members")
     if sized.count() <= BROADCAST_ROWS:
         sized = F.broadcast(sized)
-    sets = base.join(sized, base.doc_id == F.col("rep")).select("text", "cluster", "block", "nb", "rep", "copies", "p", "q").mapInArrow(_tokens(n), "cluster long, block int, nb int, rep long, copies long, tokens binary")
+    sets = base.join(sized, base.doc_id == F.col("rep")).select("text", "cluster", "block", "nb", "rep", "copies", "p", "q").mapInArrow(_tokens(n), "cluster long, block int, nb int, rep long, copies long, p long, tokens binary")
     # a group is a pair of blocks of a large cluster, or some small clusters
     other = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    pair = other.select("cluster", "block", "rep", "copies", "tokens", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.when(F.col("nb") > 1, F.xxhash64("cluster", F.least("block", "other"), F.greatest("block", "other"))).otherwise(F.pmod(F.xxhash64("cluster"), F.lit(4 * n_slices))).alias("bucket"))
+    pair = other.select("cluster", "block", "rep", "copies", "p", "tokens", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.when(F.col("nb") > 1, F.xxhash64("cluster", F.least("block", "other"), F.greatest("block", "other"))).otherwise(F.pmod(F.xxhash64("cluster"), F.lit(4 * n_slices))).alias("bucket"))
     links = materialize(pair.groupBy("bucket").applyInArrow(lambda t: _join_group(t, num, den), LINKED), "links")
-    n_links = links.groupBy("rep").agg(F.sum("n_links").alias("more"))
+    n_links = links.groupBy("rep", "p").agg(F.sum("n_links").alias("more"))
     component = connected_components(links.select(F.col("rep").alias("src"), F.col("parent").alias("dst")).unionByName(node.select(F.col("doc_id").alias("src"), F.col("rep").alias("dst"))))
-    of = classes.join(n_links, "rep", "left").select("p", "q", "n_shingles", "rep", "copies", "more")
+    of = classes.join(n_links, ["rep", "p"], "left").select("p", "q", "n_shingles", "rep", "copies", "more")
     got = meta.join(of, ["p", "q", "n_shingles"], "left").join(component, F.col("doc_id") == F.col("id"), "left")
-    return got.select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("class_id"), (F.coalesce("copies", F.lit(1)) - 1 + F.coalesce("more", F.lit(0))).alias("n_links"), F.coalesce("label", "doc_id").alias("component_id"))
+    named = F.col("doc_id").isNotNull()
+    return got.select("doc_id", "n_shingles", F.when(named, F.coalesce("rep", "doc_id")).alias("class_id"), F.when(named, F.coalesce("copies", F.lit(1)) - 1 + F.coalesce("more", F.lit(0))).otherwise(F.lit(0).cast("long")).alias("n_links"), F.coalesce("label", "doc_id").alias("component_id"))
