@@ -46,6 +46,7 @@ SLICE_MB = 8.0
 HOT = 20_000
 BATCH_WINDOWS = 2_000_000
 U = np.uint64
+SPREAD = U(0x5BE0CD19137E2179)  # anchors are least hashes, so slices go by another one
 MESSAGE = "slice int, shard int, row int, a binary, b binary, c binary"
 _MESSAGE = {"slice": pa.int32(), "shard": pa.int32(), "row": pa.int32(), "a": pa.binary(), "b": pa.binary(), "c": pa.binary()}
 
@@ -94,7 +95,7 @@ class Shard:
             stop = np.flatnonzero(np.append(edge[1:] | ~inside[1:], True) & inside) + 1
             end = stop - 1 + length
             content = H.mix((total[end] - total[first]) * inverse[first] ^ (end - first).astype(np.uint64))
-            cols.append((owner[first] + lo, first - begin[owner[first]], stop - first, anchor[first] - first, grams[anchor[first]], content))
+            cols.append((owner[first] + lo, first - begin[owner[first]], stop - first, anchor[first] - first, H.mix(grams[anchor[first]] ^ SPREAD), content))
         z = [np.concatenate(c) for c in zip(*cols)] if cols else [np.zeros(0, np.int64)] * 4 + [np.zeros(0, np.uint64)] * 2
         self.doc, self.start, self.windows, self.offset, self.key, self.content = z
         order = np.lexsort((self.content, self.key))
