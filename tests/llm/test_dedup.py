@@ -86,16 +86,22 @@ def test_tree_bounds_lose_nothing():
         assert found == expected
 
 
-def test_prefixes_meet():
-    r = np.random.default_rng(5)
-    level = r.integers(0, 9, 1 << J.SKETCH_LOG2).astype(np.uint8)
-    for _ in range(300):
-        a = np.unique(r.integers(0, 2**63, r.integers(1, 80), dtype=np.uint64))
-        keep = r.random(len(a)) < 0.93
-        b = np.unique(np.concatenate([a[keep], r.integers(0, 2**63, r.integers(0, 6), dtype=np.uint64)]))
-        both = len(np.intersect1d(a, b))
-        if len(b) and 100 * both >= 80 * (len(a) + len(b) - both):
-            assert np.intersect1d(J.prefix(a, level, 80, 100), J.prefix(b, level, 80, 100)).size
+@pytest.mark.parametrize("num", [60, 80, 90])
+def test_parts_meet(num):
+    """Linked sets agree on something, whatever n-grams count as frequent."""
+    r = np.random.default_rng(num)
+    bands, met = J.Bands(num, 100), 0
+    for share in (0.0, 0.3, 0.9, 1.0):
+        for _ in range(400):
+            often = lambda u: (u * np.uint64(2654435761) >> np.uint64(40)) % np.uint64(1000) < np.uint64(1000 * share)
+            a = np.unique(r.integers(0, 2**63, r.integers(1, 80), dtype=np.uint64))
+            keep = r.random(len(a)) < (num / 100 + 1) / 2
+            b = np.unique(np.concatenate([a[keep], r.integers(0, 2**63, r.integers(0, 6), dtype=np.uint64)]))
+            both = len(np.intersect1d(a, b))
+            if len(b) and 100 * both >= num * (len(a) + len(b) - both):
+                met += 1
+                assert np.intersect1d(bands.part_prints(a, ~often(a)), bands.part_prints(b, ~often(b))).size
+    assert met > 200
 
 
 def test_components(spark):

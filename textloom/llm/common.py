@@ -57,7 +57,7 @@ def as_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     return [x or b"" for x in column.cast(kind).to_pylist()]
 
 
-def pieces(batches, column: str = "text", mb: float = 8.0):
+def pieces(batches, column: str = "text", mb: float = 4.0):
     """The same rows in batches of about mb MB of a string column; a longer row is a batch of its own."""
     import numpy as np
     import pyarrow.compute as pc

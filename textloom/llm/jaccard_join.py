@@ -2,14 +2,16 @@
 
 1. Each document becomes the set of its distinct n-grams (64-bit fingerprints) and a 128-bit
    fingerprint of the set; documents with the same set are one class.
-2. Sets that can link are brought together exactly (no pair is lost): n-grams have one order for all
-   documents, by how many documents hold them and then by fingerprint, and two linked sets share one
-   of the first |A| - ceil(t |A|) + 1 of each. Any fixed order is exact; this one puts frequent n-grams
-   last, so that a passage that many documents hold brings none of them together. The counts come
-   from a sketch of fixed size (2 ** SKETCH_LOG2 cells, one byte each when broadcast) over all
-   documents. A task sends each n-gram of its prefixes once, with one document of those that have it,
-   so a frequent one is no hot key.
-3. Documents that share such an n-gram make components; in each, the sets are the leaves of a
+2. Sets that can link are brought together exactly (no pair is lost): set sizes fall in bands, a set
+   joins its own band and the one below, and in a band of k parts, with k above the largest
+   symmetric difference that two linked sets may have, two linked sets agree on a whole part. The
+   parts are of n-grams that are not frequent, so a passage that many documents hold brings none of
+   them together; what is frequent comes from a sketch of fixed size (2 ** SKETCH_LOG2 cells, one byte
+   each when broadcast) over all documents. A set with too few parts for that argument (parts that are
+   empty in both agree too) also sends parts of all its n-grams, and if these are too few a prefix of
+   its ordered n-grams, which two such sets share if they link. A task sends each part's fingerprint
+   once, with one document of those that have it, so a frequent one is no hot key.
+3. Documents that agree on one make components; in each, the sets are the leaves of a
    signature tree. A node has the OR of the bitmaps of its sets' tokens, the range of their sizes and
    the largest number of bitmap collisions. Two trees are walked together from their roots: a pair of
    nodes is dropped if its largest possible overlap, popcount(OR_a & OR_b) + collisions, is less than
@@ -26,6 +28,8 @@ an empty table gives no rows; columns other than doc_id and text are not read.
 
 from __future__ import annotations
 
+from bisect import bisect_right
+
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -37,8 +41,9 @@ from textloom.llm.common import as_bytes, materialize, parts, pieces
 from textloom.llm.graph import connected_components, spanning_forest
 
 U = np.uint64
-S1, S2 = U(0x243F6A8885A308D3), U(0x13198A2E03707344)
-SKETCH_LOG2 = 24
+S1, S2, S3, S4 = U(0x243F6A8885A308D3), U(0x13198A2E03707344), U(0xA4093822299F31D0), U(0x082EFA98EC4E6C89)
+SKETCH_LOG2 = 22
+FREQUENT = 16
 SLICE_MB = 8.0
 BITS = 4096
 FANOUT = 32
@@ -63,11 +68,53 @@ def set_print(u: np.ndarray) -> tuple[int, int]:
     return int(H.mix(u ^ S1).sum(dtype=np.uint64).view(np.int64)), int(H.mix(u ^ S2).sum(dtype=np.uint64).view(np.int64))
 
 
-def prefix(u: np.ndarray, level: np.ndarray, num: int, den: int) -> np.ndarray:
-    """The first |u| - need + 1 fingerprints in the common order, where need is what a link shares at least."""
-    need = -(-num * len(u) // den)
-    order = np.lexsort((u, level[u >> U(64 - SKETCH_LOG2)]))
-    return u[order[: len(u) - need + 1]]
+def prefix(u: np.ndarray, num: int, den: int) -> np.ndarray:
+    """The first |u| - need + 1 fingerprints, where need is what a link shares at least."""
+    return u[: len(u) - -(-num * len(u) // den) + 1]
+
+
+class Bands:
+    """Size bands for a link of num / den: a set links within its band or to a neighbouring one."""
+
+    def __init__(self, num: int, den: int):
+        self.num, self.den, self.low = num, den, [1, 2]
+        self.slack = 1.1 if 10 * num >= 9 * den else 1.25
+
+    def band(self, n: int) -> int:
+        while self.low[-1] <= n:
+            self.low.append(max(self.low[-1] + 1, (self.low[-1] - 1) * self.den // self.num + 1))
+        return bisect_right(self.low, n) - 1
+
+    def most_apart(self, band: int) -> int:
+        """The largest symmetric difference of linked sets whose smaller one is in the band."""
+        while len(self.low) <= band + 1:
+            self.band(self.low[-1])
+        return (self.low[band + 1] - 1) * (self.den - self.num) // self.num
+
+    def part_prints(self, u: np.ndarray, rare: np.ndarray) -> np.ndarray:
+        """What a set may agree on with one that it links to; rare: which of its n-grams are not frequent."""
+        own, out = self.band(len(u)), []
+        value = H.mix(u ^ S3)
+        for band in (own, own - 1) if own else (own,):
+            apart = self.most_apart(band)
+            k = int(np.ceil((apart + 1) * self.slack)) if apart else 1
+            for turn, v in ((0, value[rare]), (1, value)):
+                part = (((v ^ S4) & U(0xFFFFFFFF)) * U(k) >> U(32)).astype(np.int64)
+                total = np.zeros(k, np.uint64)
+                np.add.at(total, part, v)
+                used = np.zeros(k, bool)
+                used[part] = True
+                used = np.flatnonzero(used)
+                out.append(H.mix(total[used] ^ H.mix(used.astype(np.uint64) ^ self.salt(band, turn))))
+                if len(used) > apart:
+                    break
+            else:
+                out.append(H.mix(prefix(u, self.num, self.den) ^ self.salt(band, 2)))
+        return np.concatenate(out)
+
+    @staticmethod
+    def salt(band: int, turn: int) -> np.ndarray:
+        return H.mix(np.array([band * 3 + turn], np.uint64) ^ S1)
 
 
 SEGMENTS = 64
@@ -94,28 +141,32 @@ def _add_up(t: pa.Table) -> pa.Table:
     for x in t["counts"].to_pylist():
         planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(x), np.uint8).reshape(4, -1)
         total += np.ascontiguousarray(planes.T).view(np.uint32).reshape(-1)
-    # two steps for each doubling are enough to put frequent n-grams last
+    # two steps for each doubling
     level = np.floor(2 * np.log2(np.maximum(total, 1))).astype(np.uint8)
-    return pa.table({"segment": t["segment"][:1], "counts": pa.array([level.tobytes()], pa.binary())})
+    return pa.table({"segment": t["segment"][:1], "counts": pa.array([level.tobytes()], pa.binary()), "total": pa.array([int(total.sum())])})
 
 
-def frequency_levels(base: DataFrame, n: int) -> np.ndarray:
-    """A byte for each cell of the sketch: half steps of the logarithm of the documents that it counts."""
+def frequent_cells(base: DataFrame, n: int) -> np.ndarray:
+    """Which cells of the sketch hold a frequent n-gram: their count is over FREQUENT and twice what a
+    cell has by chance, so some n-gram there is in many documents."""
+    all_ = 0
     out = np.zeros((SEGMENTS, (1 << SKETCH_LOG2) // SEGMENTS), np.uint8)
-    for r in base.select("text").mapInArrow(_count(n), "segment int, counts binary").groupBy("segment").applyInArrow(_add_up, "segment int, counts binary").collect():
+    for r in base.select("text").mapInArrow(_count(n), "segment int, counts binary").groupBy("segment").applyInArrow(_add_up, "segment int, counts binary, total long").collect():
         out[r.segment] = np.frombuffer(bytes(r.counts), np.uint8)
-    return out.reshape(-1)
+        all_ += r.total
+    return out.reshape(-1) >= int(np.ceil(2 * np.log2(FREQUENT + 2 * all_ / (1 << SKETCH_LOG2))))
 
 
 MESSAGE = "slice int, a binary, b binary, n int"
 FOUND = "kind int, a long, b long, c long, d long"
 
 
-def _describe(n: int, num: int, den: int, n_slices: int, levels):
-    """Prefixes of the sets of a batch, by slice, and what the batch has to tell of each document."""
+def _describe(n: int, num: int, den: int, n_slices: int, frequent):
+    """Part prints of the sets of a batch, by slice, and what the batch has to tell of each document."""
+    bands = Bands(num, den)
 
     def described(batches):
-        turn, level = 0, levels.value
+        turn, often = 0, frequent.value
         for batch in pieces(batches):
             ids = [None if x is None else int(x) for x in batch.column("doc_id").to_pylist()]
             sets = ngram_sets(as_bytes(batch.column("text")), n)
@@ -130,7 +181,7 @@ def _describe(n: int, num: int, den: int, n_slices: int, levels):
                     edges.append((doc, first[a, b]))
                     continue
                 first[a, b] = doc
-                p = prefix(u, level, num, den)
+                p = bands.part_prints(u, ~often[u >> U(64 - SKETCH_LOG2)])
                 prints.append(p)
                 owner.append(np.full(len(p), doc))
             rows = [(turn % n_slices, H.pack_any(meta.reshape(-1)), None, -1)]
@@ -160,7 +211,7 @@ def _first_of_each(key: np.ndarray, doc: np.ndarray):
 
 
 def _meet(t: pa.Table) -> pa.Table:
-    """A slice of all prefixes: edges between documents that agree; passes on what batches told."""
+    """A slice of all part prints: edges between documents that agree; passes on what batches told."""
     out, keys, docs = [], [], []
     for a, b, n in zip(t["a"].to_pylist(), t["b"].to_pylist(), t["n"].to_pylist()):
         if n == -1:
@@ -352,8 +403,8 @@ def jaccard_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, sli
     component_id (smallest doc_id reachable by links, its own included)."""
     n_slices = parts(docs, slice_mb)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    levels = docs.sparkSession.sparkContext.broadcast(frequency_levels(base, n))  # 2 ** SKETCH_LOG2 bytes, whatever the input
-    told = materialize(base.mapInArrow(_describe(n, num, den, n_slices, levels), MESSAGE).groupBy("slice").applyInArrow(_meet, FOUND), "jaccard")
+    frequent = docs.sparkSession.sparkContext.broadcast(frequent_cells(base, n))  # 2 ** SKETCH_LOG2 bytes, whatever the input
+    told = materialize(base.mapInArrow(_describe(n, num, den, n_slices, frequent), MESSAGE).groupBy("slice").applyInArrow(_meet, FOUND), "jaccard")
     meta = told.where("kind <> 1").select(F.when(F.col("kind") == 0, F.col("a")).alias("doc_id"), F.col("b").alias("n_shingles"), F.col("c").alias("p"), F.col("d").alias("q"))
     classes = materialize(meta.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy("p", "q", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
     # candidate clusters: components over agreements, with a document's class as one node
