@@ -39,6 +39,8 @@ _ENDS = {
     **{t: (frozenset({"tbody", "thead", "tfoot", "tr", "td", "th"}), frozenset({"table"})) for t in ("tbody", "thead", "tfoot")},
     "option": (frozenset({"option"}), frozenset({"select"})),
 }
+WEIGHTS = (1.0, 0.8, 0.6, 0.5, 0.4, 0.3)
+SMOOTH = 0.03
 _WORD = re.compile(r"[a-z]+")
 
 
@@ -147,9 +149,13 @@ class Model:
             z = max(-30.0, min(30.0, sum(get(f, 0.0) for f in names)))
             b[i] = 1 / (1 + math.exp(-z))
             a[i] = 1 - b[i] or 1e-13
+            if dom.tag[i] in SILENT:  # never text, wherever it stands: tells nothing
+                a[i] = b[i] = 0.5
         up0, up1 = [1.0] * n, [1.0] * n
         for i in range(n - 1, 0, -1):
             p = dom.parent[i]
+            if dom.tag[i] in SILENT:
+                continue
             up0[i], up1[i] = s0[0] * a[i] + s0[1] * b[i], s1[0] * a[i] + s1[1] * b[i]
             x, y = a[p] * up0[i], b[p] * up1[i]
             a[p], b[p] = x / (x + y), y / (x + y)
@@ -177,10 +183,10 @@ def fit(pages: list[str]) -> Model:
             count[label[i]].update(names)
             total[label[i]] += 1
     names = set(count[0]) | set(count[1])
-    feature = {f: math.log((count[1][f] + 0.3) / (total[1] + 1)) - math.log((count[0][f] + 0.3) / (total[0] + 1)) for f in names}
+    feature = {f: math.log((count[1][f] + SMOOTH) / (total[1] + 1)) - math.log((count[0][f] + SMOOTH) / (total[0] + 1)) for f in names}
     # features of an element, and of neighbours, are not independent: the weight of them all that suits the pages best
     parsed = [(dom, _labels(dom)) for dom in map(parse, pages)]
-    made = [Model({f: w * z for f, z in feature.items()}, [[x / sum(r) for x in r] for r in step], 0.01) for w in (1.0, 0.8, 0.6, 0.5, 0.4, 0.3)]
+    made = [Model({f: w * z for f, z in feature.items()}, [[x / sum(r) for x in r] for r in step], 0.01) for w in WEIGHTS]
     return min(made, key=lambda m: sum((p > 0.5) != y for dom, label in parsed for p, y in zip(m.marginals(dom), label)))
 
 
