@@ -35,7 +35,7 @@ def test_stages(spark, corpus):
     told = step["language_id"](spark, docs, corpus)
     assert told.columns == columns
     gone = set(content(docs)) - set(content(told))
-    assert all(not re.search(r"[^\W\d_]", t or "") for _, t in gone) and {i for i, _ in gone} >= {1001, 1002}
+    assert all(not re.search(r"[^\W\d_]", t or "") or len(set(t)) < 4 for _, t in gone) and {i for i, _ in gone} >= {1001, 1002}
 
     single = step["near_duplicates"](spark, told, corpus)
     assert single.columns == columns
