@@ -46,6 +46,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write df to the shared folder and read it again: lineage is cut, lost executors cost nothing done."""
+    bounded_batches(df)
     path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -57,6 +58,51 @@ def as_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     return [x or b"" for x in column.cast(kind).to_pylist()]
 
 
+BATCH_ROWS = 2000
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """Let Arrow batches of the session hold BATCH_ROWS rows at most, as rows here are whole texts."""
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) not in range(1, BATCH_ROWS + 1):
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return df
+
+
+def trim() -> None:
+    """Give memory that a task has used back to the system: workers are used again, and idle ones count."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
+def trimmed(function):
+    """A function over whole groups or over batches that trims when it is done."""
+    import inspect
+
+    def one(t):
+        try:
+            return function(t)
+        finally:
+            trim()
+
+    def two(a, b):
+        try:
+            return function(a, b)
+        finally:
+            trim()
+
+    def stream(batches):
+        yield from function(batches)
+        trim()
+
+    return stream if inspect.isgeneratorfunction(function) else two if len(inspect.signature(function).parameters) == 2 else one
+
+
 def pieces(batches, column: str = "text", mb: float = 4.0):
     """The same rows in batches of about mb MB of a string column; a longer row is a batch of its own."""
     import numpy as np
@@ -81,4 +127,4 @@ def without_ids(docs: DataFrame, ids: DataFrame, most: int = 200_000) -> DataFra
 
 def with_shard(docs: DataFrame, n: int, *more) -> DataFrame:
     """doc_id, text and the shard that a document is dealt to."""
-    return docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int").alias("shard"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)
+    return bounded_batches(docs).select(F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int").alias("shard"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)

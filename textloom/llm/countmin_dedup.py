@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import types as T
 
 from textloom.llm import hashing as H
-from textloom.llm.common import as_bytes, parts, with_shard
+from textloom.llm.common import as_bytes, parts, trimmed, with_shard
 
 WIDTH = 13
 DEPTH = 2
@@ -246,8 +246,8 @@ def dedup_substrings(docs: DataFrame, width: int = WIDTH, depth: int = DEPTH, wi
     base = with_shard(docs, n_shards, *([] if carry is None else [carry.alias("row")]))
     carried = carry is not None
     result = RESULT if carry is None else T.StructType([*RESULT.fields, base.schema["row"]])
-    sent = base.groupBy("shard").applyInArrow(lambda t: sketch(t, width, depth, n_slices, cells_log2), MESSAGE)
-    bits = sent.groupBy("slice").applyInArrow(merge_sketches, MESSAGE)
-    keys = base.groupBy("shard").cogroup(bits.groupBy("shard")).applyInArrow(lambda a, b: candidates(a, b, width, depth, n_slices, cells_log2), MESSAGE)
-    found = keys.groupBy("slice").applyInArrow(group_exactly, MESSAGE)
-    return base.groupBy("shard").cogroup(found.groupBy("shard")).applyInArrow(lambda a, b: remove(a, b, width, with_text, carried), result)
+    sent = base.groupBy("shard").applyInArrow(trimmed(lambda t: sketch(t, width, depth, n_slices, cells_log2)), MESSAGE)
+    bits = sent.groupBy("slice").applyInArrow(trimmed(merge_sketches), MESSAGE)
+    keys = base.groupBy("shard").cogroup(bits.groupBy("shard")).applyInArrow(trimmed(lambda a, b: candidates(a, b, width, depth, n_slices, cells_log2)), MESSAGE)
+    found = keys.groupBy("slice").applyInArrow(trimmed(group_exactly), MESSAGE)
+    return base.groupBy("shard").cogroup(found.groupBy("shard")).applyInArrow(trimmed(lambda a, b: remove(a, b, width, with_text, carried)), result)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm import hashing as H
-from textloom.llm.common import as_bytes, pieces
+from textloom.llm.common import as_bytes, bounded_batches, pieces, trimmed
 
 WIDTH = 10
 SHINGLE = 3
@@ -153,17 +153,17 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH
     """Where benchmark windows occur: doc_id, n_words, hit_runs (starts and ends of hit runs of words,
     in turn), items (the item_ids whose windows occur, sorted as strings). A row for each document."""
     # row: tells texts apart that share a doc_id
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("row"))
+    base = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("row"))
     schema = "doc_id long, n_words long, hit_runs array<long>, items array<string>, row long"
     made = []
     for items in _blocks(benchmark, width, block_mb):
         block = Block(items, width)
         if block.keys:
-            counts = base.select("text").mapInArrow(_count(block), "size int, shingle long, n long").groupBy("size", "shingle").agg(F.sum("n").alias("n")).toPandas()
+            counts = base.select("text").mapInArrow(trimmed(_count(block)), "size int, shingle long, n long").groupBy("size", "shingle").agg(F.sum("n").alias("n")).toPandas()
             block.order(dict(zip(zip(counts["size"], counts["shingle"].to_numpy().view(np.uint64).tolist()), counts["n"])))
         else:
             block.prefix = {}
-        made.append(base.mapInArrow(_probe(block, pa.int64()), schema))
+        made.append(base.mapInArrow(trimmed(_probe(block, pa.int64())), schema))
     if len(made) == 1:
         return made[0].drop("row")
     # several blocks: those after the first send rows with hits only, and equal rows come back as often as they were

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm import hashing as H
-from textloom.llm.common import as_bytes, materialize, parts, pieces
+from textloom.llm.common import as_bytes, bounded_batches, materialize, parts, pieces, trimmed
 from textloom.llm.graph import connected_components, spanning_forest
 
 U = np.uint64
@@ -151,7 +151,7 @@ def frequent_cells(base: DataFrame, n: int) -> np.ndarray:
     cell has by chance, so some n-gram there is in many documents."""
     all_ = 0
     out = np.zeros((SEGMENTS, (1 << SKETCH_LOG2) // SEGMENTS), np.uint8)
-    for r in base.select("text").mapInArrow(_count(n), "segment int, counts binary").groupBy("segment").applyInArrow(_add_up, "segment int, counts binary, total long").collect():
+    for r in base.select("text").mapInArrow(trimmed(_count(n)), "segment int, counts binary").groupBy("segment").applyInArrow(trimmed(_add_up), "segment int, counts binary, total long").collect():
         out[r.segment] = np.frombuffer(bytes(r.counts), np.uint8)
         all_ += r.total
     return out.reshape(-1) >= int(np.ceil(2 * np.log2(FREQUENT + 2 * all_ / (1 << SKETCH_LOG2))))
@@ -402,9 +402,9 @@ def jaccard_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, sli
     with the same set), n_links (other documents that it links to, those of the same set included),
     component_id (smallest doc_id reachable by links, its own included)."""
     n_slices = parts(docs, slice_mb)
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    base = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     frequent = docs.sparkSession.sparkContext.broadcast(frequent_cells(base, n))  # 2 ** SKETCH_LOG2 bytes, whatever the input
-    told = materialize(base.mapInArrow(_describe(n, num, den, n_slices, frequent), MESSAGE).groupBy("slice").applyInArrow(_meet, FOUND), "jaccard")
+    told = materialize(base.mapInArrow(trimmed(_describe(n, num, den, n_slices, frequent)), MESSAGE).groupBy("slice").applyInArrow(trimmed(_meet), FOUND), "jaccard")
     meta = told.where("kind <> 1").select(F.when(F.col("kind") == 0, F.col("a")).alias("doc_id"), F.col("b").alias("n_shingles"), F.col("c").alias("p"), F.col("d").alias("q"))
     classes = materialize(meta.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy("p", "q", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
     # candidate clusters: components over agreements, with a document's class as one node
@@ -417,11 +417,11 @@ def jaccard_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, sli
     sized = materialize(sized, "members")
     if sized.count() <= BROADCAST_ROWS:
         sized = F.broadcast(sized)
-    sets = base.join(sized, base.doc_id == F.col("rep")).select("text", "cluster", "block", "nb", "rep", "copies", "p", "q").mapInArrow(_tokens(n), "cluster long, block int, nb int, rep long, copies long, p long, tokens binary")
+    sets = base.join(sized, base.doc_id == F.col("rep")).select("text", "cluster", "block", "nb", "rep", "copies", "p", "q").mapInArrow(trimmed(_tokens(n)), "cluster long, block int, nb int, rep long, copies long, p long, tokens binary")
     # a group is a pair of blocks of a large cluster, or some small clusters
     other = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     pair = other.select("cluster", "block", "rep", "copies", "p", "tokens", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.when(F.col("nb") > 1, F.xxhash64("cluster", F.least("block", "other"), F.greatest("block", "other"))).otherwise(F.pmod(F.xxhash64("cluster"), F.lit(4 * n_slices))).alias("bucket"))
-    links = materialize(pair.groupBy("bucket").applyInArrow(lambda t: _join_group(t, num, den), LINKED), "links")
+    links = materialize(pair.groupBy("bucket").applyInArrow(trimmed(lambda t: _join_group(t, num, den)), LINKED), "links")
     n_links = links.groupBy("rep", "p").agg(F.sum("n_links").alias("more"))
     component = connected_components(links.select(F.col("rep").alias("src"), F.col("parent").alias("dst")).unionByName(node.select(F.col("doc_id").alias("src"), F.col("rep").alias("dst"))))
     of = classes.join(n_links, ["rep", "p"], "left").select("p", "q", "n_shingles", "rep", "copies", "more")

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import as_bytes, materialize
+from textloom.llm.common import as_bytes, bounded_batches, materialize, trim
 
 BUCKETS = 1 << 15
 #: The classifier is fitted on this many labelled rows of each language at most.
@@ -129,6 +129,7 @@ def identify(rows: DataFrame, model: Model, id_column: str = "doc_id", text: str
     """Returns id_column, language (null if none can be told), posterior, text_margin (mean log
     likelihood of a trigram above even bytes), n_trigrams, kept; and the columns of `carry`, whole."""
     langs = model.languages
+    bounded_batches(rows)
     null = F.lit(None).cast("string")
     base = rows.select(F.struct(F.col(id_column).alias("id"), *(F.col(c) for c in carry)).alias("row"), F.col(text).alias("text"), F.lower(declared if declared is not None else null).alias("declared"), (host if host is not None else null).alias("host"), F.lower(suffix if suffix is not None else null).alias("suffix"))
 
@@ -140,6 +141,7 @@ def identify(rows: DataFrame, model: Model, id_column: str = "doc_id", text: str
         import pandas as pd
 
         got = [model.means((x or "").encode()) for x in texts]
+        trim()
         return pd.DataFrame({"means": [m.tolist() for m, _ in got], "n": [n for _, n in got]})
 
     hint = F.create_map(*(F.lit(x) for kv in SUFFIX_LANGUAGE.items() for x in kv))
@@ -148,8 +150,8 @@ def identify(rows: DataFrame, model: Model, id_column: str = "doc_id", text: str
     add = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
     scored = scored.withColumn("logs", add(add(evidence, _agreement(F.regexp_extract("declared", "^[a-z]+", 0), langs, DECLARED_RELIABLE)), _agreement(F.try_element_at(hint, F.col("suffix")), langs, SUFFIX_RELIABLE)))
     # soft counts by host, from all rows with evidence
-    soft = scored.where("seen.n > 0").select("host", _softmax(F.col("logs")).alias("p"))
-    sums = [F.sum(F.element_at("p", i + 1)).alias(f"c{i}") for i in range(len(langs))]
+    soft = scored.select("host", (F.col("seen.n") > 0).alias("told"), _softmax(F.col("logs")).alias("p"))
+    sums = [F.sum(F.when(F.col("told"), F.element_at("p", i + 1)).otherwise(0.0)).alias(f"c{i}") for i in range(len(langs))]
     by_host = materialize(soft.groupBy("host").agg(*sums), "hosts")
     domain = F.regexp_extract(F.coalesce("host", F.lit("")), r"([^.]*\.[^.]*)$", 1)
     total = by_host.agg(*(F.sum(f"c{i}").alias(f"c{i}") for i in range(len(langs)))).first()

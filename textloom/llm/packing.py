@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textloom.llm.common import materialize
+from textloom.llm.common import bounded_batches, materialize, trimmed
 
 LENGTH = 2048
 END_ID = 1
@@ -214,8 +214,8 @@ def _again(length: int, open_windows: int, rnd: int, last: bool):
 def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, open_windows: int = OPEN_WINDOWS, end_id: int = END_ID, gather: int = GATHER) -> DataFrame:
     """A row for each piece of a document in a sequence: doc_id, start, length, ids_crc32, doc_tokens,
     sequence_id, offset. Every id of every document, with the end token, is in exactly one piece."""
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    done = materialize(base.mapInArrow(_first(tokenizer, length, open_windows, end_id), PIECE), "packing")
+    base = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    done = materialize(base.mapInArrow(trimmed(_first(tokenizer, length, open_windows, end_id)), PIECE), "packing")
     whole = done.where("sequence_id IS NOT NULL")
     left = done.where("sequence_id IS NULL")
     # a task of a round gets as many ids as `gather` partitions have in half-full open windows
