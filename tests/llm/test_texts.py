@@ -167,6 +167,19 @@ def test_language_evidence(spark, docs):
     assert L.identify(docs, L.train(docs.limit(0))).where("kept").count() == 0
 
 
+def test_training_rows_are_the_least_hashes_of_every_label(spark):
+    """Copies count once, a label of nothing but copies is in the model, and the bound holds."""
+    copies = [("aa", "only one text that is copied")] * 1000
+    single = [("bb", f"text number {'abcdefghij'[i] * 3} of many") for i in range(10)] * 2
+    df = spark.createDataFrame([*copies, *single, ("cc", "rare"), (None, "unlabelled"), ("dd", None)], "lang string, text string").repartition(5)
+    model = L.train(df, per_language=4)
+    assert model.languages == ["aa", "bb", "cc"]
+    hashes = sorted((r.h, r.lang, r.text) for r in df.dropna().distinct().withColumn("h", F.xxhash64("text", F.lit(7))).collect())
+    for k, row in zip(model.languages, model.table):
+        counts = sum(np.bincount(L.trigrams(t.encode()), minlength=L.BUCKETS) for t in [t for _, x, t in hashes if x == k][:4])
+        assert np.allclose(row, np.log((counts + 0.1) / (counts.sum() + 0.1 * L.BUCKETS)))
+
+
 def test_host_prior_moves_short_texts(spark):
     model = L.train(spark.read.parquet(f"{SF}/documents.parquet"))
     base = spark.read.parquet(f"{SF}/documents.parquet").where("lang = 'de'").limit(60).selectExpr("doc_id", "text", "'d.example' AS host")

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from textloom.llm.common import as_bytes, bounded_batches, materialize, trim
 
 BUCKETS = 1 << 15
-#: The classifier is fitted on this many labelled rows of each language at most.
+#: The classifier is fitted on this many distinct labelled texts of each language at most.
 TRAIN_ROWS = 500
 TEMPER = 60.0
 DECLARED_RELIABLE = 0.8
@@ -81,17 +81,30 @@ class Model:
 
 
 def train(rows: DataFrame, text: str = "text", label: str = "lang", per_language: int = TRAIN_ROWS) -> Model:
-    """Fit the text model on labelled rows: per_language of each language at most, chosen by a hash of
-    their text. The counts are made where the rows are; one row for each language comes to the driver."""
-    labelled = rows.where(F.col(label).isNotNull() & F.col(text).isNotNull()).select(F.col(label).cast("string").alias("label"), F.col(text).alias("text"))
-    sizes = {r.label: r["count"] for r in labelled.groupBy("label").count().limit(MOST_LABELS + 1).collect()}
-    if len(sizes) > MOST_LABELS:
+    """Fit the text model on labelled rows: of each language the per_language distinct texts with the least
+    hashes, or all if it has fewer, so that every language with a row is in the model and copies count
+    once. The counts are made where the rows are; one row for each language comes to the driver."""
+    bounded_batches(rows)
+    labelled = rows.where(F.col(label).isNotNull() & F.col(text).isNotNull()).select(F.col(label).cast("string").alias("label"), F.col(text).alias("text"), F.xxhash64(F.col(text), F.lit(7)).alias("hash"))
+    sizes = labelled.select("label").distinct().limit(MOST_LABELS + 1).count()
+    if sizes > MOST_LABELS:
         raise ValueError(f"{label} has more than {MOST_LABELS} values; it can't be a language")
-    # a share of each label by hash, so that no window over a whole language is needed
-    share = F.lit(0.0)
-    for k, n in sorted(sizes.items()):
-        share = F.when(F.col("label") == k, per_language / n).otherwise(share)
-    picked = labelled.where(F.pmod(F.xxhash64("text", F.lit(7)), F.lit(1 << 30)) < share * (1 << 30))
+
+    def least(batches):
+        kept: dict[str, np.ndarray] = {}
+        for b in batches:
+            labels = b.column("label").dictionary_encode()
+            at, h = labels.indices.to_numpy(), b.column("hash").to_numpy()
+            for i, k in enumerate(labels.dictionary.to_pylist()):
+                kept[k] = np.unique(np.concatenate([kept.get(k, h[:0]), h[at == i]]))[:per_language]
+        yield pa.RecordBatch.from_arrays([pa.array(list(kept), pa.string()), pa.array(list(kept.values()), pa.list_(pa.int64()))], ["label", "hashes"])
+
+    def limit(t: pa.Table) -> pa.Table:
+        hashes = np.unique(t["hashes"].combine_chunks().flatten().to_numpy())[:per_language]
+        return pa.table({"label": t["label"][:1], "most": pa.array(hashes[-1:], pa.int64())})
+
+    limits = labelled.select("label", "hash").mapInArrow(least, "label string, hashes array<long>").groupBy("label").applyInArrow(limit, "label string, most long")
+    picked = labelled.join(F.broadcast(limits), "label").where("hash <= most").select("label", "text", "hash").dropDuplicates(["label", "hash"])
 
     def count(batches):
         total: dict[str, np.ndarray] = {}
