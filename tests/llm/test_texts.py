@@ -228,3 +228,16 @@ def test_compression_bands():
     assert Q.compression(prose, z)[3] is True
     assert Q.compression(b"", z) == (None, 0, 0, True)
     assert Q.compression(prose[:20000] + b"same " * 8000 + noise[:100], z)[3] is False  # in chunks
+
+
+def test_junk_in_the_rest_after_whole_chunks(spark):
+    z = zstandard.ZstdCompressor(level=Q.LEVEL)
+    r = random.Random(5)
+    texts = [x.text.encode() for x in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang = 'en' AND n_chars > 5000").orderBy("doc_id").limit(20).collect()]
+    heads = [t[: Q.CHUNK] for t in texts if Q.compression(t[: Q.CHUNK], z)[1:] == (1, 0, True)]
+    assert len(heads) >= 10
+    for head in heads:
+        for tail in (b"x" * 2000, bytes(r.randrange(33, 127) for _ in range(2000))):
+            assert Q.compression(head + tail, z)[1:] == (2, 1, False)
+    assert Q.compression(heads[0][:-1], z)[1:] == (0, 0, True)  # no chunk below CHUNK bytes
+    assert [Q.compression(heads[0] * n, z)[1] for n in (1, 2, 3)] == [1, 2, 3]  # no rest, no chunk more

@@ -3,7 +3,8 @@
 A text compresses by more than prose does if it repeats itself, and by less if it is noise. The ratio
 (compressed to raw bytes) depends on the length, so each length has its own band; a text of fixed
 chunks of CHUNK bytes is also judged by how many of them fall outside the band of a chunk, which finds
-repetitive passages within long prose. Nothing is learned and no text is looked at twice: one pass,
+repetitive passages within long prose. Where chunks leave a rest, one more ends at the end of the text,
+so every byte of a text of CHUNK bytes or more is in a chunk. Nothing is learned and no text is looked at twice: one pass,
 no shuffle.
 
 Defined results: null or empty text has no words and fails the base rule; texts below the first
@@ -59,13 +60,16 @@ def repeated_words(h: np.ndarray, width: int = REPEAT_WINDOW) -> int:
 
 
 def compression(raw: bytes, compressor: zstandard.ZstdCompressor) -> tuple[float | None, int, int, bool]:
-    """Ratio of the whole text, number of whole chunks, chunks outside their band; the verdict."""
+    """Ratio of the whole text, number of chunks, chunks outside their band; the verdict."""
     if not raw:
         return None, 0, 0, True
-    ratio, chunks = len(compressor.compress(raw)) / len(raw), len(raw) // CHUNK
-    odd = 0
-    for i in range(chunks):
-        r = len(compressor.compress(raw[i * CHUNK : (i + 1) * CHUNK])) / CHUNK
+    ratio = len(compressor.compress(raw)) / len(raw)
+    starts = list(range(0, len(raw) - CHUNK + 1, CHUNK))
+    if starts and len(raw) % CHUNK:
+        starts.append(len(raw) - CHUNK)
+    chunks, odd = len(starts), 0
+    for i in starts:
+        r = len(compressor.compress(raw[i : i + CHUNK])) / CHUNK
         odd += not CHUNK_BAND[0] <= r <= CHUNK_BAND[1]
     good = odd <= CHUNK_SHARE * chunks
     for low, least, most in reversed(BANDS):
