@@ -180,6 +180,18 @@ def test_training_rows_are_the_least_hashes_of_every_label(spark):
         assert np.allclose(row, np.log((counts + 0.1) / (counts.sum() + 0.1 * L.BUCKETS)))
 
 
+def test_pages_are_judged_by_markup_and_address(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    spark.read.parquet(f"{SF}/documents.parquet").write.parquet(f"{tmp_path}/documents.parquet")
+    page = lambda lang: f"<!DOCTYPE html><html{lang}><style>the of and</style><p>zq &amp; 7</p></html>"
+    rows = [(1, "http://a.example.de/x", page("")), (2, "http://b.example.fr/x", page("")), (3, "http://c.example.test/", page(" lang='es-MX'")), (4, None, None)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: r for r in entry.queries()["op7_language_id_pages"](spark, str(tmp_path)).collect()}
+    assert [got[i].language for i in (1, 2, 3, 4)] == ["de", "fr", "es", None]
+    assert got[1].n_trigrams == got[2].n_trigrams == got[3].n_trigrams
+
+
 def test_host_prior_moves_short_texts(spark):
     model = L.train(spark.read.parquet(f"{SF}/documents.parquet"))
     base = spark.read.parquet(f"{SF}/documents.parquet").where("lang = 'de'").limit(60).selectExpr("doc_id", "text", "'d.example' AS host")

@@ -10,7 +10,7 @@ from textloom.llm.countmin_dedup import dedup_substrings
 from textloom.llm.decontaminate import contamination
 from textloom.llm.html_extract import extract_text
 from textloom.llm.jaccard_join import jaccard_join
-from textloom.llm.language_id import identify, train
+from textloom.llm.language_id import address_parts, declared_language, identify, page_text, train
 from textloom.llm.packing import pack
 from textloom.llm.quality import quality_rules
 from textloom.llm.suffix_dedup import dedup_suffixes
@@ -96,6 +96,14 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, train(docs), declared=F.col("lang"), host=F.col("source"))
 
 
+def op7_language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages by all their evidence: text, the html element's lang, host and address suffix. They have no
+    labels; the model is fitted on the documents."""
+    pages = table(spark, sf_dir, "pages").select("page_id", page_text(F.col("html")).alias("text"), declared_language(F.col("html")).alias("declared"), "url")
+    host, suffix = address_parts(F.col("url"))
+    return identify(pages, train(table(spark, sf_dir, "documents")), "page_id", declared=F.col("declared"), host=host, suffix=suffix)
+
+
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(table(spark, sf_dir, "pages"))
 
@@ -125,6 +133,9 @@ QUERIES = {
     "op10_html_extraction": op10_html_extraction,
 }
 
+#: Operators of QUERIES on a further table.
+MORE = {"op7_language_id_pages": op7_language_id_pages}
+
 SQL = {
     "op1_ngram_jaccard_join": OP1_SQL,
     "op4_benchmark_decontamination": OP4_SQL,
