@@ -62,6 +62,19 @@ def test_gzip_in_a_payload_is_no_record(tmp_path):
         assert found == [f"<urn:page:{i}>" for i in range(4)]
 
 
+def test_damaged_payloads_fail(spark, tmp_path):
+    for i, (old, new, fails) in enumerate([(b"payload", b"payload", False), (b"payload", b"pay1oad", True), (b"X-Payload-Length: 7", b"X-Payload-Length: 8", True)]):
+        data = b"".join(W.member(x) for x in (W.record(1, "u", b"payload", None).replace(old, new), W.record(2, "v", b"payload", 1)))
+        path = tmp_path / f"{i}.warc.gz"
+        path.write_bytes(data)
+        got = W.checked(W.read_archives(spark.createDataFrame([(str(path), len(data))], "path string, bytes long"))).select("record_id", "payload_digest")
+        if fails:
+            with pytest.raises(Exception, match="damaged payload"):
+                got.collect()
+        else:
+            assert {r.payload_digest for r in got.collect()} == {"sha1:" + W.digest(b"payload")}
+
+
 def test_record_round_trip():
     raw = W.record(5, "http://x/ü?a=b", "häß".encode(), None)
     f = W.parse(raw)

@@ -203,8 +203,8 @@ def _chain_holds(source: _Source, at: int, end: int) -> bool:
     return True
 
 
-RECORD = "path string, position long, record_id string, url string, record_type string, payload_digest string, payload_length long, refers_to string, payload binary"
-_TYPES = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary())
+RECORD = "path string, position long, record_id string, url string, record_type string, payload_digest string, payload_length long, refers_to string, payload binary, payload_sha1 string"
+_TYPES = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary(), pa.string())
 
 
 def _read(batches):
@@ -212,7 +212,7 @@ def _read(batches):
         for path, start, end in zip(*(b.column(c).to_pylist() for c in ("path", "start", "end"))):
             rows, size = [], 0
             for at, f in range_records(path, start, end):
-                rows.append((path, at, f.get("WARC-Record-ID"), f.get("WARC-Target-URI"), f.get("WARC-Type"), f.get("WARC-Payload-Digest"), int(f["X-Payload-Length"]) if "X-Payload-Length" in f else None, f.get("WARC-Refers-To"), f["payload"]))
+                rows.append((path, at, f.get("WARC-Record-ID"), f.get("WARC-Target-URI"), f.get("WARC-Type"), f.get("WARC-Payload-Digest"), int(f["X-Payload-Length"]) if "X-Payload-Length" in f else None, f.get("WARC-Refers-To"), f["payload"], digest(f["payload"])))
                 size += len(f["payload"])
                 if size > 8 << 20:
                     yield _batch(rows)
@@ -225,7 +225,7 @@ def _batch(rows):
 
 
 def read_archives(archives: DataFrame, range_mb: float = RANGE_MB) -> DataFrame:
-    """Records of archives (path, bytes): a row each, with its payload; see RECORD."""
+    """Records of archives (path, bytes): a row each, with its payload and that payload's own digest; see RECORD."""
     step = int(range_mb * 1e6)
     ranges = archives.where("bytes > 0").select("path", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(step).cast("long"))).alias("start"))
     ranges = ranges.select("path", "start", (F.col("start") + step).alias("end"))
@@ -233,12 +233,20 @@ def read_archives(archives: DataFrame, range_mb: float = RANGE_MB) -> DataFrame:
     return ranges.repartition(n, "path", "start").mapInArrow(_read, RECORD)
 
 
+def checked(records: DataFrame) -> DataFrame:
+    """The same records; the query fails at a response whose payload has not the length or the SHA-1 that
+    its header says, where payload_digest is read. (A revisit has no payload to check.)"""
+    damaged = (F.col("record_type") == "response") & (F.octet_length("payload").cast("long") != F.col("payload_length")) | (F.col("record_type") == "response") & F.col("payload_digest").startswith("sha1:") & (F.col("payload_digest") != F.concat(F.lit("sha1:"), "payload_sha1"))
+    error = F.raise_error(F.concat_ws(" ", F.lit("damaged payload:"), "path", F.col("position").cast("string"), "record_id"))
+    return records.withColumn("payload_digest", F.when(damaged, error.cast("string")).otherwise(F.col("payload_digest")))
+
+
 def round_trip(pages: DataFrame, out: str | None = None) -> DataFrame:
     """Write pages to archives and read them back: page_id, payload_bytes, payload_digest, record_type,
-    refers_to, url; length and digest are checked against the payload where the record has it."""
+    refers_to, url; length and digest are checked against the payload where the record has it (checked)."""
     spark: SparkSession = pages.sparkSession
     out = out or f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
-    got = read_archives(write_archives(pages, out))
+    got = checked(read_archives(write_archives(pages, out)))
     number = lambda c: F.expr(f"try_cast(nullif(regexp_extract({c}, '<urn:page:(-?[0-9]*)>', 1), '') AS BIGINT)")
     whole = F.col("record_type") == "response"
     return got.select(number("record_id").alias("page_id"), F.when(whole, F.octet_length("payload").cast("long")).otherwise(F.col("payload_length")).alias("payload_bytes"), F.regexp_replace("payload_digest", "^sha1:", "").alias("payload_digest"), "record_type", number("refers_to").alias("refers_to"), "url")
