@@ -57,6 +57,17 @@ def test_outcome(spark, tree):
     assert Grep(spark, "nowhere", str(tree), recursive=True).outcome().status == 2
 
 
+def test_errors_that_are_not_shown_are_counted(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("textloom.operators.grep.SHOWN_ERRORS", 2)
+    for i in range(5):
+        (tmp_path / f"{i}.txt").write_bytes(b"\xff\n" if i else b"fine\n")
+    g = Grep(spark, "nowhere", str(tmp_path), recursive=True)
+    o = g.outcome()
+    assert (o.status, len(o.errors), o.n_errors) == (2, 2, 4)
+    assert sorted(name(r.path) for r in g.errors().collect()) == [f"{i}.txt" for i in range(1, 5)]
+    assert Grep(spark, "fine", str(tmp_path / "0.txt")).outcome().n_errors == 0
+
+
 def test_columns(spark):
     df = spark.createDataFrame([("k", "a1"), ("k", "b"), ("m", None)], "key string, line string")
     assert [r.line for r in select_lines(df, r"\d").collect()] == ["a1"]

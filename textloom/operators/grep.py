@@ -50,12 +50,17 @@ def only_matching(lines: DataFrame, pattern: str | Pattern, *keys: str, invert:
     return rows.select(*keys, F.explode(find_all(F.col(column), p)).alias("m")).select(*keys, F.col("m.start").alias("start"), F.col("m.end").alias("end"), F.col("m.text").alias("match"))
 
 
+SHOWN_ERRORS = 1000
+
+
 @dataclass
 class Outcome:
-    """How a search went: status 0 if a line was selected, 1 if none was, 2 if none was and a file was bad."""
+    """How a search went: status 0 if a line was selected, 1 if none was, 2 if none was and a file was bad.
+    errors has SHOWN_ERRORS messages at most; n_errors is how many files were bad."""
 
     matched: bool
     errors: list[str]
+    n_errors: int = 0
 
     @property
     def status(self) -> int:
@@ -111,6 +116,11 @@ class Grep:
             out = out.withColumn("line", highlight(F.col("line"), p))
         return out.select(*(keys if self.with_path else keys[1:]), "line")
 
+    def errors(self) -> DataFrame:
+        """path of each file that is not valid UTF-8, all of them."""
+        return invalid_files(self.spark, self.paths, self.recursive)
+
     def outcome(self) -> Outcome:
-        bad = [f"{r.path}: invalid UTF-8" for r in invalid_files(self.spark, self.paths, self.recursive).limit(1000).collect()]
-        return Outcome(not select_lines(self.lines(), self.compiled(), self.invert).isEmpty(), bad)
+        bad = [f"{r.path}: invalid UTF-8" for r in self.errors().limit(SHOWN_ERRORS).collect()]
+        n = len(bad) if len(bad) < SHOWN_ERRORS else self.errors().count()
+        return Outcome(not select_lines(self.lines(), self.compiled(), self.invert).isEmpty(), bad, n)
