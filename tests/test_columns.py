@@ -61,3 +61,26 @@ def test_sql_functions(spark):
     assert [tuple(r) for r in spark.sql(r"SELECT rx_is_match(t, r'\d'), rx_count(t, r'\d'), rx_find(t, r'\d+').text FROM rx_rows ORDER BY id").collect()] == [(True, 3, "1"), (None, None, None)]
     assert [tuple(r) for r in spark.sql(r"SELECT id, r.match_no, r.start, r.match FROM rx_rows, LATERAL rx_find_rows(t, r'\d+') r ORDER BY 2").collect()] == [(1, 1, 1, "1"), (1, 2, 3, "22")]
     assert S.check("(") and S.check("a") is None
+
+
+def test_empty_matches_have_a_text(spark):
+    df = spark.createDataFrame([("bbb",), ("",), (None,), ("xa",)], "t string")
+    assert [r[0] for r in df.select(M.find_text("t", "a*")).collect()] == ["", "", None, ""]
+    assert [r[0] for r in df.select(M.extract("t", "(?:a|$)", 0)).collect()] == ["", "", None, "a"]
+    assert [r[0] for r in df.select(M.find_text("t", "a+")).collect()] == [None, None, None, "a"]
+
+
+def test_group_counts(spark):
+    df = spark.createDataFrame([("ab",), ("x",)], "t string")
+    for pattern, n in (("a", 0), ("(a)(b)?", 2)):
+        c = M.captures("t", pattern)
+        assert M.group_count(pattern) == n
+        assert [tuple(r) for r in df.select(M.captures_len(c), M.captures_empty(c)).collect()] == [(n, n == 0), (None, None)]
+
+
+def test_replacing_and_splitting_by_any_pattern(spark):
+    df = spark.createDataFrame([("aab-cc$d",), ("",), (None,), ("xyz",)], "t string")
+    both = lambda pattern, force: [tuple(r) for r in df.select(M.replace_all("t", pattern, "<$1>", force_tier=force), M.split("t", pattern, force_tier=force)).collect()]
+    for pattern in ("[a-c]", "b|c+"):
+        assert both(pattern, "L1") == both(pattern, "L2")
+    assert both(r"(.)\1", None)[0] == ("<$1>b-<$1>$d", ["", "b-", "$d"])

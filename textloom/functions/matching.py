@@ -111,7 +111,7 @@ def find_text(column: Column | str, pattern: str | Pattern, **options) -> Column
     """The text of the leftmost match; null if there is none."""
     c, p = _column(column), compile_pattern(pattern, **options)
     if p.jvm is not None:
-        return F.regexp_substr(c, F.lit(p.jvm))
+        return F.when(is_match(c, p), F.regexp_extract(c, p.jvm, 0))
     return find(c, p)["text"]
 
 
@@ -169,20 +169,55 @@ def extract(column: Column | str, pattern: str | Pattern, ref: int | str = 0, **
     return group(captures(c, p), p, i)["text"]
 
 
+def group_count(pattern: str | Pattern, **options) -> int:
+    """How many groups a pattern has, the whole match not counted; known when the plan is made."""
+    return compile_pattern(pattern, **options).groups
+
+
+def captures_len(captured: Column) -> Column:
+    """How many groups captures() has found or left unset, the whole match not counted."""
+    return F.when(captured.isNotNull(), F.size(captured["groups"]))
+
+
+def captures_empty(captured: Column) -> Column:
+    """Whether captures() has no groups."""
+    return captures_len(captured) == 0
+
+
 def replace_all(column: Column | str, pattern: str | Pattern, replacement: str, **options) -> Column:
-    """A convenience: all matches replaced by a text, for patterns that run in the JVM."""
+    """A convenience: all matches replaced by a text."""
     c, p = _column(column), compile_pattern(pattern, **options)
-    if p.jvm is None:
-        raise ValueError(f"{p.text!r} can't be replaced in the JVM: {p.why_not_jvm}")
-    return F.regexp_replace(c, F.lit(p.jvm), F.lit(replacement.replace("\\", "\\\\").replace("$", "\\$")))
+    if p.jvm is not None:
+        return F.regexp_replace(c, F.lit(p.jvm), F.lit(replacement.replace("\\", "\\\\").replace("$", "\\$")))
+    engine = p.engine
+
+    def run(text: str) -> str:
+        out, at = [], 0
+        for start, end, _ in engine.iterate(text):
+            if start >= at:
+                out += [text[at:start], replacement]
+                at = end
+        return "".join(out) + text[at:]
+
+    return F.coalesce(_arrow(_guard(c, p), run, T.StringType(), pa.string()), c)
 
 
 def split(column: Column | str, pattern: str | Pattern, **options) -> Column:
-    """A convenience: the texts between matches, for patterns that run in the JVM."""
+    """A convenience: the texts between matches. An empty match at the start or the end splits nothing."""
     c, p = _column(column), compile_pattern(pattern, **options)
-    if p.jvm is None:
-        raise ValueError(f"{p.text!r} can't split in the JVM: {p.why_not_jvm}")
-    return F.split(c, p.jvm)
+    if p.jvm is not None:
+        return F.split(c, p.jvm)
+    engine = p.engine
+
+    def run(text: str) -> list[str]:
+        out, at = [], 0
+        for start, end, _ in engine.iterate(text):
+            if start >= at and not (start == end and start in (0, len(text))):
+                out.append(text[at:start])
+                at = end
+        return [*out, text[at:]]
+
+    return F.coalesce(_arrow(_guard(c, p), run, T.ArrayType(T.StringType()), pa.list_(pa.string())), F.when(c.isNotNull(), F.array(c)))
 
 
 def highlight(column: Column | str, pattern: str | Pattern, before: str = "\x1b[1;31m", after: str = "\x1b[0m", **options) -> Column:

@@ -6,8 +6,12 @@ line feed counts, and nothing follows a final line feed. Bare carriage returns s
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def split_lines(text: Column) -> Column:
@@ -22,14 +26,27 @@ def lines_of(df: DataFrame, text: str = "text", *keys: str) -> DataFrame:
     return df.select(*keys, F.posexplode(split_lines(F.col(text))).alias("at", "line")).select(*keys, (F.col("at") + 1).cast("long").alias("line_no"), "line")
 
 
-def files(spark: SparkSession, paths: list[str] | str, recursive: bool = False) -> DataFrame:
-    """path and bytes of each file, empty ones too, in the order of paths. A directory is listed only with
-    recursive, else it is an error of the plan; listing is that of Hadoop, on the driver."""
+def plain_path(column: Column) -> Column:
+    """A file's path as users write it: names are not percent-encoded, and local ones have no scheme."""
+    decoded = F.url_decode(F.replace(column, F.lit("+"), F.lit("%2B")))
+    return F.regexp_replace(decoded, "^file:/+", "/")
+
+
+def _plain(path: str) -> str:
+    """plain_path for what Hadoop's Path gives, which is not encoded."""
+    return "/" + path[5:].lstrip("/") if path.startswith("file:/") else path
+
+
+def list_files(spark: SparkSession, paths: list[str] | str, recursive: bool = False) -> tuple[list[tuple[str, int]], list[str], list[str]]:
+    """(path, bytes) of each file in the order of paths, children of a directory by name; the paths that
+    can be read; and a message for each that is skipped: one that does not exist, or a directory without
+    recursive. The listing is that of Hadoop, on the driver."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     found: list[tuple[str, int]] = []
+    usable, messages = [], []
 
     def take(status) -> None:
-        found.append((status.getPath().toString(), int(status.getLen())))
+        found.append((_plain(status.getPath().toString()), int(status.getLen())))
 
     def walk(fs, path) -> None:
         for s in sorted(fs.listStatus(path), key=lambda s: s.getPath().toString()):
@@ -38,36 +55,74 @@ def files(spark: SparkSession, paths: list[str] | str, recursive: bool = False)
     for p in [paths] if isinstance(paths, str) else paths:
         path = jvm.org.apache.hadoop.fs.Path(p)
         fs = path.getFileSystem(conf)
+        if not fs.exists(path):
+            messages.append(f"{p}: No such file or directory")
+            continue
         status = fs.getFileStatus(path)
-        if not status.isDirectory():
-            take(status)
-        elif recursive:
-            walk(fs, path)
-        else:
-            raise IsADirectoryError(f"{p}: Is a directory")
-    return spark.createDataFrame(found or [("", 0)], "path string, bytes long").where("path <> ''")
+        if status.isDirectory() and not recursive:
+            messages.append(f"{p}: Is a directory")
+            continue
+        usable.append(p)
+        walk(fs, path) if status.isDirectory() else take(status)
+    return found, usable, messages
+
+
+def files(spark: SparkSession, paths: list[str] | str, recursive: bool = False) -> DataFrame:
+    """path and bytes of each file, empty ones too. A path that does not exist, or a directory without
+    recursive, is an error of the plan."""
+    found, _, messages = list_files(spark, paths, recursive)
+    for m in messages:
+        raise (IsADirectoryError if m.endswith("Is a directory") else FileNotFoundError)(m)
+    return spark.createDataFrame(found, "path string, bytes long")
+
+
+def _escaped(paths: list[str] | str) -> list[str]:
+    """Spark takes paths for globs; a file's own name is none."""
+    return [re.sub(r"([\\\[\]{}*?])", r"\\\1", p) for p in ([paths] if isinstance(paths, str) else paths)]
 
 
-def read_lines(spark: SparkSession, paths: list[str] | str, recursive: bool = False, numbered: bool = False) -> DataFrame:
+def read_lines(spark: SparkSession, paths: list[str] | str, recursive: bool = False, numbered: bool = False, after_bad: bool = True) -> DataFrame:
     """Lines of text files: path, line; with numbered, line_no too.
 
     Without numbers, files are split over tasks wherever they are long. Numbers need the order within a
-    file, so then each file is read whole by one task."""
+    file, so then each file is read whole by one task. Lines that are not valid UTF-8 have U+FFFD for
+    their bad bytes; without after_bad, a file ends before its first such line."""
     reader = spark.read.option("recursiveFileLookup", recursive)
-    if not numbered:
-        rows = reader.text(paths, lineSep="\n").select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("line"))
-        return rows.withColumn("line", F.regexp_replace("line", r"\r\z", ""))
-    rows = reader.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
-    return lines_of(rows, "text", "path")
+    path = plain_path(F.col("_metadata.file_path")).alias("path")
+    if numbered:
+        raw = F.col("value")
+        text = raw if after_bad else F.when(F.is_valid_utf8(raw), raw).otherwise(_good_lines(F.when(~F.is_valid_utf8(raw), raw.cast("binary"))))
+        return lines_of(reader.text(_escaped(paths), wholetext=True).select(path, text.alias("text")), "text", "path")
+    rows = reader.text(_escaped(paths), lineSep="\n").select(path, "value", F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("turn"))
+    if not after_bad:
+        # both scans of a file are cut alike, so a line has the same place in both; a row for each bad file
+        bad = rows.where(~F.is_valid_utf8("value")).groupBy("path").agg(F.min(F.struct("block", "turn")).alias("stop"))
+        rows = rows.join(bad, "path", "left").where(F.col("stop").isNull() | (F.struct("block", "turn") < F.col("stop")))
+    return rows.select("path", F.regexp_replace("value", r"\r\z", "").alias("line"))
+
+
+@F.arrow_udf(T.StringType())
+def _good_lines(raw: pa.Array) -> pa.Array:
+    """The lines of a file before the first that is not valid UTF-8."""
+
+    def cut(b: bytes | None) -> str | None:
+        if b is None:
+            return None
+        try:
+            return b.decode()
+        except UnicodeDecodeError as e:
+            return b[: b.rfind(b"\n", 0, e.start) + 1].decode()
+
+    return pa.array([cut(b) for b in raw.to_pylist()], pa.string())
 
 
 def invalid_files(spark: SparkSession, paths: list[str] | str, recursive: bool = False) -> DataFrame:
-    """Paths of files that are not valid UTF-8; their bad bytes read as U+FFFD."""
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(paths)
-    return rows.where(~F.is_valid_utf8(F.col("content").cast("string"))).select("path")
+    """Paths of files that have a line that is not valid UTF-8, in one pass over the lines."""
+    rows = spark.read.option("recursiveFileLookup", recursive).text(_escaped(paths), lineSep="\n")
+    return rows.select(plain_path(F.col("_metadata.file_path")).alias("path"), "value").where(~F.is_valid_utf8("value")).select("path").distinct()
 
 
 def stream_lines(spark: SparkSession, path: str) -> DataFrame:
     """Lines of files as they arrive in a directory, as a streaming DataFrame: path, line."""
     rows = spark.readStream.option("lineSep", "\n").text(path)
-    return rows.select(F.col("_metadata.file_path").alias("path"), F.regexp_replace("value", r"\r\z", "").alias("line"))
+    return rows.select(plain_path(F.col("_metadata.file_path")).alias("path"), F.regexp_replace("value", r"\r\z", "").alias("line"))
