@@ -107,7 +107,7 @@ def _keys(h: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
 
 def _order(a: np.ndarray, b: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A sort by (a, b, doc), and where a new (a, b) begins."""
-    order = np.argsort(a, kind="stable")
+    order = np.argsort(a)
     x = a[order]
     tie = np.flatnonzero(x[1:] == x[:-1])
     if len(tie):
@@ -129,17 +129,19 @@ def candidates(t: pa.Table, replies: pa.Table, width: int, depth: int, n_slices:
         return _rows(MESSAGE, out)
     h, owner, at = _windows(as_bytes(t["text"]), width)
     doc = _ids(t)
-    at = at[doc[owner[at]] != NO_ID]
-    every = H.windows(h, width)
+    key = H.windows(h, width)[at] if len(at) else np.zeros(0, np.uint64)
     answer = {(r, s): a for r, s, a in zip(*(replies[k].to_pylist() for k in ("row", "slice", "a")))}
-    everyone = _windows_all(h, owner, width)
-    keep = np.ones(len(at), bool)
-    for row in range(depth):
-        cells = np.unique(_cells(every[everyone], row, cells_log2)) if len(everyone) else np.zeros(0, np.uint64)
-        edges = H.slice_edges(cells, n_slices)
+    keep = doc[owner[at]] != NO_ID
+    for row in range(depth if len(at) else 0):
+        cells = _cells(key, row, cells_log2)
+        order = np.argsort(cells)
+        cells = cells[order]
+        new = np.ones(len(cells), bool)
+        new[1:] = cells[1:] != cells[:-1]
+        edges = H.slice_edges(cells[new], n_slices)
         bits = [np.unpackbits(np.frombuffer(answer[row, int(s)], np.uint8), count=edges[s + 1] - edges[s]) for s in np.flatnonzero(np.diff(edges))]
-        repeated = np.concatenate(bits).astype(bool) if bits else np.zeros(0, bool)
-        keep &= repeated[np.searchsorted(cells, _cells(every[at], row, cells_log2))] if len(at) else keep
+        keep[order] &= np.concatenate(bits).astype(bool)[np.cumsum(new) - 1]
+    del key
     at = at[keep]
     a, b = _keys(h, at, width) if len(at) else (np.zeros(0, np.uint64),) * 2
     ids = doc[owner[at]]
@@ -154,10 +156,6 @@ def candidates(t: pa.Table, replies: pa.Table, width: int, depth: int, n_slices:
     return _rows(MESSAGE, out)
 
 
-def _windows_all(h: np.ndarray, owner: np.ndarray, width: int) -> np.ndarray:
-    return np.flatnonzero(owner[: len(h) - width + 1] == owner[width - 1 :]) if len(h) >= width else np.zeros(0, np.int64)
-
-
 def group_exactly(t: pa.Table) -> pa.Table:
     """For each shard, the windows that also start in a document with a smaller id than its own smallest."""
     a = [H.unpack(x) for x in t["a"].to_pylist()]
@@ -205,18 +203,13 @@ def remove(t: pa.Table, replies: pa.Table, width: int, with_text: bool, carry: b
             ra = np.concatenate([H.unpack(x) for x in replies["a"].to_pylist()])
             rb = np.concatenate([np.frombuffer(x, np.uint32) for x in replies["b"].to_pylist()]).astype(np.uint64)
             uniq_a, uniq_b = a[order][new], b[order][new]
-            # both sides as 12-byte records; replies are a subset of this shard's keys
-            pair = np.dtype([("a", ">u8"), ("b", ">u4")])
-            mine, theirs = np.empty(len(uniq_a), pair), np.empty(len(ra), pair)
-            mine["a"], mine["b"], theirs["a"], theirs["b"] = uniq_a, uniq_b, ra, rb
-            known = np.isin(uniq_a, ra)
-            some = np.flatnonzero(known)
-            wanted = set(theirs.tobytes()[i : i + 12] for i in range(0, 12 * len(theirs), 12)) if len(some) != len(ra) else None
-            if wanted is not None:
-                blob = mine[some].tobytes()
-                some = some[[blob[i : i + 12] in wanted for i in range(0, len(blob), 12)]] if len(some) else some
-            flag = np.zeros(len(uniq_a), bool)
-            flag[some] = True
+            # replies are a subset of this shard's keys; several keys may agree in their first 64 bits
+            flag, todo, at_key = np.zeros(len(uniq_a), bool), np.arange(len(ra)), np.searchsorted(uniq_a, ra)
+            while len(todo):
+                same = uniq_b[at_key[todo]] == rb[todo]
+                flag[at_key[todo[same]]] = True
+                todo = todo[~same]
+                at_key[todo] += 1
             gone[order] |= flag[group]
         hit = at[gone]
         np.add.at(cover, hit, 1)

@@ -97,6 +97,14 @@ def windows(h: np.ndarray, n: int, base: np.uint64 = SHINGLE_BASE) -> np.ndarray
     return mix(out)
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The distinct values, ascending. (np.unique without counts goes by a hash table, some ten times as slow.)"""
+    x = np.sort(x)
+    new = np.ones(len(x), bool)
+    new[1:] = x[1:] != x[:-1]
+    return x[new]
+
+
 def pack(x: np.ndarray) -> bytes:
     """A compact form of an array of ascending integers: byte planes of the differences."""
     d = np.diff(x.astype(np.uint64), prepend=U64(0))
@@ -118,6 +126,18 @@ def unpack_any(b: bytes, kind=np.int64) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(8, -1).T).view(kind).reshape(-1)
 
 
+def pack_repeated(x: np.ndarray) -> bytes:
+    """A compact form of 8-byte integers of which each occurs many times: the distinct ones, and which."""
+    values, at = np.unique(x.astype(np.uint64), return_inverse=True)
+    first = pack(values)
+    return len(first).to_bytes(8, "little") + first + pack_any(at.astype(np.uint64))
+
+
+def unpack_repeated(b: bytes) -> np.ndarray:
+    n = int.from_bytes(b[:8], "little")
+    return unpack(b[8 : 8 + n])[unpack_any(b[8 + n :])].view(np.int64)
+
+
 def slice_edges(ascending: np.ndarray, n: int) -> np.ndarray:
     """Where each of n equal ranges of the 64-bit space begins in an ascending array; n + 1 entries."""
     bounds = np.array([(i << 64) // n for i in range(n)], np.uint64)
