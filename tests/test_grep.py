@@ -104,6 +104,14 @@ def test_directories_are_skipped_in_every_mode(spark, tree):
         assert {name(r.path) for r in both.rows().collect()} <= {"b.txt"} and both.with_path
 
 
+def test_hidden_files(spark, tmp_path):
+    for n in ("_x.txt", ".y.txt", "z.txt"):
+        (tmp_path / n).write_text("one\n")
+    g = Grep(spark, "one", [str(tmp_path), str(tmp_path / "_x.txt")], recursive=True, count=True)
+    assert [name(r.path) for r in g.rows().collect()] == ["z.txt"]
+    assert g.outcome().errors == [f"{tmp_path / '_x.txt'}: Is hidden"]
+
+
 def test_names_are_shown_for_several_files(spark, tree, tmp_path):
     (tmp_path / "only.txt").write_text("one\n")
     assert not Grep(spark, "one", str(tmp_path), recursive=True).with_path

@@ -107,6 +107,18 @@ def find(column: Column | str, pattern: str | Pattern, **options) -> Column:
     return _arrow(_guard(c, p), _one(p.engine, False), MATCH, _MATCH)
 
 
+def find_from(column: Column | str, pattern: str | Pattern, pos: int, **options) -> Column:
+    """The leftmost match that starts at code point pos or later; anchors and lookbehind see the whole text."""
+    c, p = _column(column), compile_pattern(pattern, **options)
+    engine = p.engine
+
+    def run(text: str):
+        got = engine.search(text, pos) if pos <= len(text) else None
+        return None if got is None else _span(text, _Bytes(text), got[:2])
+
+    return _arrow(_guard(c, p), run, MATCH, _MATCH)
+
+
 def find_text(column: Column | str, pattern: str | Pattern, **options) -> Column:
     """The text of the leftmost match; null if there is none."""
     c, p = _column(column), compile_pattern(pattern, **options)

@@ -6,7 +6,10 @@ line feed counts, and nothing follows a final line feed. Bare carriage returns s
 
 from __future__ import annotations
 
+import atexit
 import re
+import shutil
+import tempfile
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -40,7 +43,8 @@ def _plain(path: str) -> str:
 def list_files(spark: SparkSession, paths: list[str] | str, recursive: bool = False) -> tuple[list[tuple[str, int]], list[str], list[str]]:
     """(path, bytes) of each file in the order of paths, children of a directory by name; the paths that
     can be read; and a message for each that is skipped: one that does not exist, or a directory without
-    recursive. The listing is that of Hadoop, on the driver."""
+    recursive. The listing is that of Hadoop, on the driver. Names that start with _ or . are hidden from
+    Hadoop's readers: in directories they are passed over, and named ones are skipped with a message."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     found: list[tuple[str, int]] = []
     usable, messages = [], []
@@ -50,6 +54,8 @@ def list_files(spark: SparkSession, paths: list[str] | str, recursive: bool = Fa
 
     def walk(fs, path) -> None:
         for s in sorted(fs.listStatus(path), key=lambda s: s.getPath().toString()):
+            if s.getPath().getName()[:1] in "_.":
+                continue
             walk(fs, s.getPath()) if s.isDirectory() else take(s)
 
     for p in [paths] if isinstance(paths, str) else paths:
@@ -59,6 +65,9 @@ def list_files(spark: SparkSession, paths: list[str] | str, recursive: bool = Fa
             messages.append(f"{p}: No such file or directory")
             continue
         status = fs.getFileStatus(path)
+        if not status.isDirectory() and path.getName()[:1] in "_.":
+            messages.append(f"{p}: Is hidden")
+            continue
         if status.isDirectory() and not recursive:
             messages.append(f"{p}: Is a directory")
             continue
@@ -122,6 +131,19 @@ def invalid_files(spark: SparkSession, paths: list[str] | str, recursive: bool =
     return rows.select(plain_path(F.col("_metadata.file_path")).alias("path"), "value").where(~F.is_valid_utf8("value")).select("path").distinct()
 
 
+def scratch_dir(spark: SparkSession) -> str:
+    """A folder that all executors share, from spark.checkpoint.dir; only where it is unset and executors are
+    threads of this machine, a temporary one, deleted at the end."""
+    where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    if not where:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir is not set: a folder is needed that all executors share")
+        where = tempfile.mkdtemp(prefix="textloom-")
+        atexit.register(shutil.rmtree, where, True)
+        spark.sparkContext.setCheckpointDir(where)
+    return str(where).rstrip("/")
+
+
 def stream_lines(spark: SparkSession, path: str) -> DataFrame:
     """Lines of files as they arrive in a directory, as a streaming DataFrame: path, line."""
     rows = spark.readStream.option("lineSep", "\n").text(path)
