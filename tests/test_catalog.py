@@ -55,3 +55,17 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_missing_packages_cost_only_the_training_data_queries(monkeypatch):
+    import sys
+
+    import __spark_entry__ as e
+
+    for name in ("public_tokenizers", "zstandard", "corpus_pipeline", "textloom.llm"):
+        with monkeypatch.context() as m:
+            for k in [k for k in sys.modules if k == "corpus_pipeline" or k.startswith("textloom.llm")]:
+                m.delitem(sys.modules, k)
+            m.setitem(sys.modules, name, None)
+            with pytest.warns(UserWarning, match="no training-data queries"):
+                assert set(e.queries()) == set(catalog.QUERIES)
