@@ -91,6 +91,28 @@ def test_random_engines_agree(spark):
             assert got[i] == e, (p.text, p.jvm, s)
 
 
+def test_shortened_tests_agree():
+    """What for_test leaves of a pattern matches somewhere exactly where the pattern does."""
+    from dataclasses import replace
+
+    from textloom.pattern import analyze as A
+    from textloom.pattern.matcher import Matcher
+    from textloom.pattern.parse import parse
+
+    r, shorter = random.Random(11), 0
+    loop = lambda: r.choice(["a?", "b*", "(?:ab)*", "a+", "(b)+", "a{2,3}", "[ab]{0,2}?", "a++", "b*+", "(?:a|b)+?", "a?+"])
+    for _ in range(400):
+        pattern = "".join(loop() for _ in range(r.randrange(3))) + r.choice(["", "ab", "^a", "b$", r"\bab", "(?<=a)b", "(?!a)b", "(?>a|ab)b", r"\Gab"]) + "".join(loop() for _ in range(r.randrange(3)))
+        parsed = parse(pattern, False, False, False, False)
+        short = A.for_test(parsed.root)
+        shorter += short != parsed.root
+        whole, part = Matcher(parsed), Matcher(replace(parsed, root=short))
+        for _ in range(12):
+            text = "".join(r.choice("aab \n") for _ in range(r.randrange(9)))
+            assert (whole.search(text, 0) is None) == (part.search(text, 0) is None), (pattern, text)
+    assert shorter > 200
+
+
 def test_pathological_is_bounded():
     for n in (20, 200):
         p = Pattern("a?" * n + "a" * n)

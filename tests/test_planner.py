@@ -20,7 +20,7 @@ def plan(df) -> str:
 
 @pytest.mark.parametrize(
     "pattern, tier, how",
-    [("error", "L0", "re"), (r"\Aab\z", "L0", "re"), ("a|bc", "L0", "re"), ("[a-z]+ing", "L1", "re"), (r"(?<=\. )[A-Z]", "L1", "re"), (r"(a)\1", "L1", "re"), (r"a\Kb", "L2", "matcher"), (r"\Ga", "L2", "matcher"), ("(?~abc)", "L2", "re"), (r"(a)?(?(1)b|c)", "L2", "matcher"), (r"(\(\g<1>\))", "L2", "matcher"), ("(?<=a+)b", "L2", "matcher"), (r"(?i)(a)\1", "L2", "matcher"), (r"(?:ab|y)*z", "L2", "re"), (r"(?:ab|y)*+z", "L1", "re"), (r"(?<x>a)\g<x>", "L1", "matcher")],
+    [("error", "L0", "re"), (r"\Aab\z", "L0", "re"), ("a|bc", "L0", "re"), ("[a-z]+ing", "L1", "re"), (r"(?<=\. )[A-Z]", "L1", "re"), (r"(a)\1", "L1", "re"), (r"a\Kb", "L2", "matcher"), (r"\Ga", "L2", "matcher"), ("(?~abc)", "L2", "re"), (r"(a)?(?(1)b|c)", "L2", "matcher"), (r"(\(\g<1>\))", "L2", "matcher"), ("(?<=a+)b", "L2", "matcher"), (r"(?i)(a)\1", "L2", "matcher"), (r"x(?:ab|y)*z", "L2", "re"), (r"(?:ab|y)*z", "L0", "re"), ("a?" * 20 + "eea", "L0", "matcher"), ("[a-z]*[0-9]{2,}", "L1", "re"), (r"(?:ab|y)*+z", "L1", "re"), (r"(?<x>a)\g<x>", "L1", "matcher")],
 )
 def test_tiers(pattern, tier, how):
     p = Pattern(pattern)

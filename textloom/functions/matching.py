@@ -90,8 +90,8 @@ def is_match(column: Column | str, pattern: str | Pattern, **options) -> Column:
     c, p = _column(column), compile_pattern(pattern, **options)
     if p.literal_test:
         return _any_literal(c, *p.literal_test)
-    if p.jvm is not None:
-        test = c.rlike(p.jvm)
+    if p.jvm_test is not None:
+        test = c.rlike(p.jvm_test)
         # what a match needs goes ahead: it reaches the Parquet reader, a regular expression doesn't
         return _any_literal(c, "contains", p.needed) & test if p.needed and min(map(len, p.needed)) > 1 else test
     engine = p.engine

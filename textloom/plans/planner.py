@@ -67,13 +67,21 @@ class Pattern:
         self.parsed: Parsed = parse(text, ignore_case, dot_all, extended, ascii_only)
         self.groups, self.names = self.parsed.groups, self.parsed.names
         root = self.parsed.root
-        self.literal_test = _literal_test(root) if force_tier in (None, "L0") else None
+        test = A.for_test(root) if force_tier is None else root
+        self.literal_test = _literal_test(test) if force_tier in (None, "L0") else None
         self.jvm, self.why_not_jvm = None, None
         if force_tier in (None, "L1"):
             try:
                 self.jvm = emit(root, "jvm", False)
             except Unsupported as e:
                 self.why_not_jvm = str(e)
+        # tests may run a shorter pattern than the other operations
+        self.jvm_test = self.jvm
+        if test != root:
+            try:
+                self.jvm_test = emit(test, "jvm", False)
+            except Unsupported:
+                pass
         source = None
         if force_tier is None:
             try:
@@ -90,7 +98,7 @@ class Pattern:
     @property
     def tier(self) -> str:
         """The tier of a boolean test."""
-        return "L0" if self.literal_test else "L1" if self.jvm is not None else "L2"
+        return "L0" if self.literal_test else "L1" if self.jvm_test is not None else "L2"
 
     @property
     def how(self) -> str:
