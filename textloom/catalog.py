@@ -193,10 +193,16 @@ _add("grep_stdin", "conversations", lambda df: G.Grep(df.sparkSession, "THE", so
 _add("grep_stdin_count", "conversations", lambda df: G.Grep(df.sparkSession, "[aeiou]{2}", source=df.select(F.col("text").alias("line")), count=True, invert=True).rows(), "SELECT count(*)::BIGINT AS n FROM conversations WHERE NOT regexp_matches(text, '[aeiou]{2}')")
 
 
+_written: dict[tuple[str, str], str] = {}
+
+
 def _files(spark: SparkSession, sf_dir: str) -> str:
-    """The texts of conversations as a tree of text files, a directory for each role, with a file of bad
-    bytes and odd names; the same files for the same tables."""
-    out = f"{scratch_dir(spark)}/textloom-files-{uuid.uuid4().hex}"
+    """The texts of conversations as a tree of text files, a directory with a space in its name for each
+    role; written once for an application and its tables."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key in _written:
+        return _written[key]
+    out = _written[key] = f"{scratch_dir(spark)}/textloom-files-{uuid.uuid4().hex}"
     _table(spark, sf_dir, "conversations").where("text IS NOT NULL").select(F.concat(F.lit("role of "), "role").alias("role"), F.regexp_replace("text", "[\r\n]", " ").alias("text")).write.partitionBy("role").text(out)
     return out
 
