@@ -35,9 +35,12 @@ def parts(df: DataFrame, mb: float, least: int = 8, text: str = "text") -> int:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, from spark.checkpoint.dir; where it is unset, one of our own."""
+    """The folder that all executors share, from spark.checkpoint.dir. Only where it is unset and the
+    executors are threads of this machine, one of our own, deleted at the end; else that is an error."""
     where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not where:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir is not set: a folder is needed that all executors share")
         where = tempfile.mkdtemp(prefix="textloom-")
         atexit.register(shutil.rmtree, where, True)
         spark.sparkContext.setCheckpointDir(where)
@@ -45,11 +48,59 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write df to the shared folder and read it again: lineage is cut, lost executors cost nothing done."""
+    """Write df to the shared folder and read it again: lineage is cut, lost executors cost nothing done.
+    The table stays until discard() or, at the latest, until the driver ends."""
     bounded_batches(df)
     path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
+    if not _made:
+        atexit.register(_discard_all)
+    _made[path] = df.sparkSession
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._made_at = path
+    return out
+
+
+#: Tables that materialize() has made and nobody has discarded.
+_made: dict[str, SparkSession] = {}
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that materialize() has made; nothing that is still to be computed may read them."""
+    for df in tables:
+        path = vars(df).get("_made_at")
+        if path in _made:
+            _delete(_made.pop(path), path)
+
+
+def made_tables() -> set[str]:
+    """The tables that exist now, for discard_since()."""
+    return set(_made)
+
+
+def discard_since(before: set[str], *keep: DataFrame) -> None:
+    """Delete all tables that materialize() has made since, but those to keep."""
+    kept = {vars(df).get("_made_at") for df in keep}
+    for path in [p for p in _made if p not in before and p not in kept]:
+        _delete(_made.pop(path), path)
+
+
+def _discard_all() -> None:
+    from pyspark import SparkContext
+
+    for path, spark in _made.items():
+        if SparkContext._active_spark_context is None or spark.sparkContext._jsc is None:
+            return
+        try:
+            _delete(spark, path)
+        except Exception:  # the JVM may be gone already, at the end of the driver
+            return
 
 
 def as_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
@@ -70,7 +121,8 @@ def bounded_batches(df: DataFrame) -> DataFrame:
 
 
 def trim() -> None:
-    """Give memory that a task has used back to the system: workers are used again, and idle ones count."""
+    """Give memory that a task has used back to the system: workers are used again, and what an idle one
+    holds counts towards its executor's limit. This changes no result."""
     import ctypes
 
     pa.default_memory_pool().release_unused()

@@ -1,4 +1,4 @@
-"""Connected components of an edge table, by label propagation with shortcuts on DataFrames."""
+"""Connected components of an edge table, by contraction on DataFrames."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import materialize
+from textloom.llm.common import discard, materialize
 
 
 def spanning_forest(pairs: np.ndarray) -> np.ndarray:
@@ -31,19 +31,37 @@ def spanning_forest(pairs: np.ndarray) -> np.ndarray:
 def connected_components(edges: DataFrame) -> DataFrame:
     """edges: src, dst long. Returns id, label (the smallest id reachable) for each id with an edge.
 
-    Each round takes the smallest label among neighbours, then the label of that label, so chains
-    shorten by a factor each round; rounds are written to the shared folder. Self-edges and repeated
-    edges do no harm; an empty table gives an empty one.
+    The graph is contracted: each round a vertex goes to the least of itself and its neighbours, that
+    one's choice is followed once more, and the edges are rewritten to what is left, without loops and
+    repeats; then the maps of the rounds are composed. Vertices are compared by a bijective hash, so long
+    chains of ascending ids shrink by a factor as well, and the edges of a hub are gone after a round or
+    two. Edges and vertices fall from round to round, so all rounds together read a few times the edges.
+    Rounds are written to the shared folder and deleted at the end. Self-edges, nulls and repeated edges
+    do no harm; an empty table gives an empty one.
     """
-    e = edges.where("src IS NOT NULL AND dst IS NOT NULL AND src <> dst").select("src", "dst")
-    e = materialize(e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct(), "edges")
-    label = materialize(e.groupBy(F.col("src").alias("id")).agg(F.min("dst").alias("m")).select("id", F.least("id", "m").alias("label")), "labels")
-    while True:
-        near = e.join(label, e.dst == label.id).groupBy("src").agg(F.min("label").alias("m"))
-        step = label.join(near, label.id == near.src).select("id", F.col("label").alias("old"), F.least("label", "m").alias("label"))
-        of = step.select(F.col("id").alias("at"), F.col("label").alias("further"))
-        # a label may be that of an id further on: follow it once
-        step = materialize(step.join(of, F.col("label") == F.col("at"), "left").select("id", "old", F.least("label", F.coalesce("further", "label")).alias("label")), "labels")
-        label, moved = step.select("id", "label"), step.where("label <> old").limit(1).count()
-        if not moved:
-            return label
+    named = edges.where("src IS NOT NULL AND dst IS NOT NULL AND src <> dst").select("src", "dst")
+    named = materialize(named.distinct(), "edges")
+    vertex = named.select(F.col("src").alias("id")).union(named.select(F.col("dst").alias("id"))).distinct().select("id", F.xxhash64("id").alias("vertex"))
+    e = materialize(named.select(F.xxhash64("src").alias("u"), F.xxhash64("dst").alias("v")).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "contracted")
+    steps, old = [], [named, e]
+    while not e.isEmpty():
+        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        choice = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("at"), F.least("u", "m").alias("to")), "choice")
+        further = choice.select(F.col("at").alias("by"), F.col("to").alias("last"))
+        step = materialize(choice.join(further, F.col("to") == F.col("by")).select("at", F.col("last").alias("to")), "step")
+        a, b = (step.select(F.col("at").alias(f"at_{x}"), F.col("to").alias(f"to_{x}")) for x in "uv")
+        moved = e.join(a, F.col("u") == F.col("at_u")).select("to_u", "v").join(b, F.col("v") == F.col("at_v"))
+        e = materialize(moved.where("to_u <> to_v").select(F.least("to_u", "to_v").alias("u"), F.greatest("to_u", "to_v").alias("v")).distinct(), "contracted")
+        steps.append(step)
+        old += [choice, step, e]
+    if not steps:
+        return vertex.select("id", F.col("id").alias("label"))
+    root = steps[-1]
+    for step in reversed(steps[:-1]):
+        later = root.select(F.col("at").alias("by"), F.col("to").alias("last"))
+        root = step.join(later, F.col("to") == F.col("by"), "left").select("at", F.coalesce("last", "to").alias("to"))
+    rooted = materialize(vertex.join(root, F.col("vertex") == F.col("at")).select("id", "to"), "rooted")
+    least = rooted.groupBy("to").agg(F.min("id").alias("label"))
+    out = materialize(rooted.join(least, "to").select("id", "label"), "components")
+    discard(*old, rooted)
+    return out
