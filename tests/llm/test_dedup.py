@@ -11,7 +11,8 @@ from tests.llm.fixtures import SCHEMA, empty, pairs, rows
 from textloom.llm import jaccard_join as J
 from textloom.llm.countmin_dedup import dedup_substrings
 from textloom.llm.graph import connected_components, spanning_forest
-from textloom.llm.suffix_dedup import dedup_suffixes, refine
+from textloom.llm import suffix_dedup as S
+from textloom.llm.suffix_dedup import dedup_suffixes
 
 
 def shingle_sets(data, n):
@@ -53,10 +54,10 @@ def joined(data, n, num):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("n, num, block", [(3, 90, 4096), (5, 80, 4096), (2, 60, 2)])
+@pytest.mark.parametrize("n, num, block", [(3, 90, 16.0), (5, 80, 16.0), (2, 60, 0.002)])
 def test_jaccard_join(spark, docs, n, num, block):
     data = [(r.doc_id, r.text) for r in docs.collect()]
-    got = pairs(J.jaccard_join(docs, n, num, 100, block=block), "doc_id", "n_shingles", "component_id", "n_links")
+    got = pairs(J.jaccard_join(docs, n, num, 100, block_mb=block), "doc_id", "n_shingles", "component_id", "n_links")
     assert got == joined(data, n, num)
 
 
@@ -180,14 +181,45 @@ def test_suffix_dedup_empty_and_bad(spark):
         dedup_suffixes(empty(spark), length=30)
 
 
-def test_refine_matches_counting():
-    r = np.random.default_rng(1)
-    text = r.integers(97, 99, 600).astype(np.uint8)
-    start = np.arange(600 - 16)
-    block = start % 3
-    seen = Counter((int(b), text[s : s + 16].tobytes()) for s, b in zip(start, block))
-    expected = [seen[int(b), text[s : s + 16].tobytes()] > 1 for s, b in zip(start, block)]
-    assert refine(text, start, block, 16).tolist() == expected
+def shard_entries(r, shards, length=16):
+    """Random pieces about two anchors, each shard's in suffix order: (shard, key, windows, offset, text)."""
+    out = []
+    for k in range(shards):
+        rows = []
+        for _ in range(r.integers(0, 30)):
+            windows = int(r.integers(1, 6))
+            offset = int(r.integers(windows - 1, windows + 3))
+            text = r.integers(97, 99, windows + length - 1).astype(np.uint8).tobytes()
+            rows.append((k, int(r.integers(0, 2)), windows, offset, text))
+        out += sorted(rows, key=lambda x: (x[1], x[4][x[3] :]))
+    return out
+
+
+@pytest.mark.parametrize("shards", [1, 2, 5])
+def test_orders_merge(shards):
+    """The merged order is that of all suffixes, keeps each shard's own order, and has the common prefixes;
+    walking left by BWT symbols finds the windows that occur twice."""
+    length = 16
+    for seed in range(8):
+        rows = shard_entries(np.random.default_rng(seed), shards)
+        if not rows:
+            continue
+        right, bwt = [x[4][x[3] :] for x in rows], [x[4][: x[3]][::-1] for x in rows]
+        entries = S.Entries(length, np.array([x[1] for x in rows], np.uint64), np.array([x[2] for x in rows]), np.array([x[3] for x in rows]), right, bwt)
+        order, lcp = S.merge_orders(entries)
+        padded = [r.ljust(length, b"\0") for r in right]
+        assert [(rows[i][1], padded[i]) for i in order] == sorted((x[1], p) for x, p in zip(rows, padded))
+        for k in range(shards):
+            mine = [i for i in order if rows[i][0] == k]
+            assert mine == sorted(mine)
+        for p, q, n in zip(order, order[1:], lcp[1:]):
+            same = next((i for i in range(length) if padded[p][i] != padded[q][i]), length)
+            assert n == (same if rows[p][1] == rows[q][1] else 0)
+        window = lambda i, o: (rows[i][1], o, rows[i][4][rows[i][3] - o :][:length])
+        every = [(i, o) for i, x in enumerate(rows) for o in range(x[3] - x[2] + 1, x[3] + 1)]
+        seen = Counter(window(i, o) for i, o in every)
+        who, offset = S.repeated_windows(entries)
+        assert sorted(zip(who.tolist(), offset.tolist())) == sorted((i, o) for i, o in every if seen[window(i, o)] > 1)
 
 
 def test_many_copies(spark):
@@ -195,7 +227,7 @@ def test_many_copies(spark):
     same = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen"
     data = [(i, same) for i in range(300)] + [(1000 + i, f"{same} {i} {same} end {i}") for i in range(100)]
     df = spark.createDataFrame(data, "doc_id long, text string")
-    assert pairs(J.jaccard_join(df, 3, 90, 100, block=16), "doc_id", "n_shingles", "component_id", "n_links") == joined(data, 3, 90)
+    assert pairs(J.jaccard_join(df, 3, 90, 100, block_mb=0.01), "doc_id", "n_shingles", "component_id", "n_links") == joined(data, 3, 90)
     assert pairs(dedup_substrings(df, with_text=False), "doc_id", "n_words", "n_removed", "kept_sha256") == words_removed(data)
 
 
@@ -205,3 +237,32 @@ def test_other_seeds(spark):
         data = [(r.doc_id, r.text) for r in df.collect()]
         assert pairs(J.jaccard_join(df, 5, 80, 100), "doc_id", "n_shingles", "component_id", "n_links") == joined(data, 5, 80)
         assert pairs(dedup_substrings(df), "doc_id", "n_words", "n_removed", "kept_sha256") == words_removed(data)
+
+
+def test_inner_nodes_are_dropped():
+    """Groups of like sets: nearly all pairs of inner nodes from different groups fall before their leaves are seen."""
+    r = np.random.default_rng(5)
+    sets = []
+    for _ in range(40):
+        base = np.unique(r.integers(0, 2**63, 120, dtype=np.uint64))
+        sets += [np.unique(np.append(base[: 120 - k % 5], r.integers(0, 2**63, 2, dtype=np.uint64))) for k in range(16)]
+    walked: dict = {}
+    n = sum(int(linked.sum()) for _, _, linked in J.tree_links(sets, None, 80, 100, walked))
+    assert n == 40 * 16 * 15 // 2
+    assert walked["inner dropped"] > 1000
+    assert walked["leaves"] < len(sets) * (len(sets) - 1) // 2 // 5
+
+
+def test_sketch_counts_documents(spark, monkeypatch):
+    """The cells of n-grams that are in many documents, and no cells of rare ones, whatever the rounds of adding up."""
+    monkeypatch.setattr(J.Sketch, "GATHER", 2)
+    monkeypatch.setattr(J.Sketch, "HELD", 100)
+    monkeypatch.setattr(J.Sketch, "SEGMENT", 1 << 12)
+    data = [(i, f"the same words here and own{i} x{i} y{i} z{i}") for i in range(60)]
+    base = spark.createDataFrame(data, "doc_id long, text string").repartition(7)
+    common, = J.ngram_sets([b"the same words here and"], 5)
+    rare = np.concatenate(J.ngram_sets([f"own{i} x{i} y{i} z{i}".encode() for i in range(60)], 4))
+    for lots in (1, 5):
+        sketch = J.Sketch(base, 5, 16, lots)
+        assert sketch(common).all()
+        assert sketch(rare).mean() < 0.05

@@ -1,4 +1,4 @@
-"""Exact removal of repeated byte strings, by merging the suffix orders of shards.
+"""Exact removal of repeated byte strings, by merging the suffix orders and BWTs of shards.
 
 A byte goes if it is covered by a string of LENGTH bytes that starts anywhere else too.
 
@@ -6,22 +6,30 @@ A byte goes if it is covered by a string of LENGTH bytes that starts anywhere el
    place, the anchor. Equal windows have equal anchors at equal offsets, so only pieces with the same
    anchor gram can hold them. A shard sends each distinct piece once, as fingerprints; slices of the
    fingerprint space tell it which whole pieces occur again (those are done), and which share their
-   anchor with other pieces (only their bytes are sent on, once for each distinct piece).
-2. In a slice, the windows of all shards are merged as shard Burrows-Wheeler transforms are: an
-   interleave vector starts with the shards in turn, and is refined iteratively. A step takes for each
-   entry the symbol that precedes what is known of it (8 bytes, read from the window's end to its
-   start, as the LF mapping walks) and deals the entries out stably by it. After t steps the vector is
-   the merged order by prefixes of 8 t bytes, and where a block of equal prefixes ends is where the
-   common prefix of neighbours is shorter; no suffixes are compared or sorted anew. Entries alone in
-   their block are dropped. Blocks that are left at LENGTH bytes are the repeated intervals.
-3. Shards get a bit for each window that they sent, and remove the bytes covered.
-
-An anchor with more than HOT distinct pieces is not merged in one task: its windows are told apart by
-their 96-bit fingerprints instead, which spread over all slices.
+   anchor with other pieces. Only these are sorted and merged.
+2. A shard sorts the suffixes that start at its anchors, once (suffix_order). What it sends to a slice
+   is that order with its common prefixes (lcp): the right contexts, each without what it shares with
+   the one before, and the BWT symbols of the suffixes, that is the bytes before each, nearest first.
+3. A slice merges the orders of all shards (merge_orders). The interleave starts with the shards in turn
+   and is refined iteratively: round t deals the entries of each block of equal prefixes out, stably, by
+   their next SYMBOL bytes, and where a block parts is the common prefix of the two neighbours. Entries
+   of one shard never change places among themselves, so no shard is sorted anew, and entries alone in
+   their block take no part in later rounds.
+4. From the merged order repeated_windows() walks left as the LF mapping does: step o deals the entries
+   out, by a stable counting pass within their blocks, by the o-th BWT symbol. Then the blocks hold what
+   agrees in the o bytes before the anchor, still in the order of their right contexts, whose common
+   prefixes are range minima of the merged lcp. A repeated interval is a run of neighbours with
+   o + lcp >= LENGTH: their windows that start o bytes before the anchor are equal.
+5. Shards get a bit for each window that they sent, and remove the bytes covered.
+
+An anchor with more than HOT distinct pieces would be one large block in one task. Its pieces are cut into
+smaller ones of SPLIT windows by their place before the anchor; the bytes which these have in common are
+the longer anchor that they are dealt by. They are sorted, sent and merged like all others.
 
 Defined results: null text is empty; texts shorter than LENGTH are kept; a string that repeats within
-one document counts, overlaps too; rows that share a doc_id are separate documents; a null doc_id
-stays null; an empty table gives no rows; columns other than doc_id and text are not read.
+one document counts, overlaps too; very long texts are whole in one shard; rows that share a doc_id are
+separate documents; a null doc_id stays null; an empty table gives no rows; columns other than doc_id
+and text are not read.
 """
 
 from __future__ import annotations
@@ -36,7 +44,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textloom.llm import hashing as H
-from textloom.llm.common import as_bytes, parts
+from textloom.llm.common import as_bytes, bounded_batches, parts, trimmed
 
 LENGTH = 200
 GRAM = 48
@@ -44,7 +52,8 @@ SYMBOL = 8
 SHARD_MB = 4.0
 SLICE_MB = 8.0
 HOT = 20_000
-BATCH_WINDOWS = 2_000_000
+SPLIT = 8
+BATCH_PIECES = 20_000
 U = np.uint64
 SPREAD = U(0x5BE0CD19137E2179)  # anchors are least hashes, so slices go by another one
 MESSAGE = "slice int, shard int, row int, a binary, b binary, c binary"
@@ -121,21 +130,68 @@ class Shard:
                 flag[edges[s] : edges[s + 1]] = np.unpackbits(np.frombuffer(bits, np.uint8), count=edges[s + 1] - edges[s])
         return tuple(out)
 
-    def hot_windows(self, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Windows of hot pieces (an index of the distinct piece for each, with its place there) and their keys."""
-        which, place, a, b = [], [], [], []
+    def chosen(self, merge: np.ndarray, hot: np.ndarray) -> "Order":
+        """The pieces to be merged and the smaller ones of hot pieces, in suffix order."""
+        i = np.flatnonzero(merge)
+        f = self.first[i]
+        cols = [(i, np.zeros(len(i), np.int64), self.windows[f], self.offset[f], self.key[f])]
         for j in np.flatnonzero(hot):
             raw = np.frombuffer(self.piece(self.first[j]), np.uint8)
-            n = int(self.windows[self.first[j]])
-            s = np.arange(n)
-            a.append(H.span_hashes(raw, s, s + self.length))
-            b.append(H.span_hashes(raw[::-1], len(raw) - s - self.length, len(raw) - s) >> U(32))
-            which.append(np.full(n, j))
-            place.append(s)
-        if not which:
-            z = np.zeros(0, np.int64)
-            return z, z, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-        return np.concatenate(which), np.concatenate(place), np.concatenate(a), np.concatenate(b)
+            n, a = int(self.windows[self.first[j]]), int(self.offset[self.first[j]])
+            m = np.arange((a - n + 1) // SPLIT, a // SPLIT + 1)  # windows that start SPLIT * m to SPLIT * (m + 1) - 1 bytes before the anchor
+            first, last = np.maximum(a - SPLIT * m - SPLIT + 1, 0), np.minimum(a - SPLIT * m, n - 1)
+            lo = a - SPLIT * m  # what all windows of that kind have in common starts here
+            hi = lo + self.length - SPLIT + 1
+            key = H.mix(H.span_hashes(raw, lo, np.minimum(hi, len(raw))) ^ SPREAD)
+            cols.append((np.full(len(m), j), first, last - first + 1, lo - first, key))
+        return Order(self, [np.concatenate(c) for c in zip(*cols)])
+
+
+class Order:
+    """Suffixes at the anchors of some pieces of a shard, sorted by anchor and right context."""
+
+    def __init__(self, shard: Shard, columns: list[np.ndarray]):
+        length = shard.length
+        j, place, windows, offset, key = columns
+        left, right = [], []
+        for i, p, w, a in zip(shard.first[j].tolist(), place.tolist(), windows.tolist(), offset.tolist()):
+            s = shard.start[i] + p
+            text = shard.texts[shard.doc[i]]
+            left.append(text[s : s + a][::-1])
+            right.append(text[s + a : s + w + length - 1])
+        order = np.array(suffix_order(key, right), np.int64)
+        self.piece, self.place, self.windows, self.offset, self.key = j[order], place[order], windows[order], offset[order], key[order]
+        self.bwt, self.right = [left[i] for i in order], [right[i] for i in order]
+        self.lcp = [0] * len(order)
+        for i in range(1, len(order)):
+            if self.key[i] == self.key[i - 1]:
+                x, y = self.right[i - 1], self.right[i]
+                self.lcp[i] = len(y) if x.startswith(y) else _common(x, y)
+
+    def message(self, lo: int, hi: int, compressor: zstandard.ZstdCompressor) -> tuple[bytes, bytes, bytes]:
+        """Entries lo to hi: anchors; front-coded right contexts and BWT symbols; windows, offsets, lcp."""
+        lcp = [0, *self.lcp[lo + 1 : hi]]
+        right = compressor.compress(b"".join(r[n:] for r, n in zip(self.right[lo:hi], lcp)))
+        bwt = compressor.compress(b"".join(self.bwt[lo:hi]))
+        return H.pack(self.key[lo:hi]), len(right).to_bytes(8, "little") + right + bwt, H.pack_any(np.concatenate([self.windows[lo:hi], self.offset[lo:hi], np.array(lcp, np.int64)]))
+
+
+def suffix_order(key: np.ndarray, right: list[bytes]) -> list[int]:
+    keys = key.tolist()
+    return sorted(range(len(right)), key=lambda i: (keys[i], right[i]))
+
+
+def _common(x: bytes, y: bytes) -> int:
+    """The length of the common prefix."""
+    n = min(len(x), len(y))
+    lo = 0
+    while lo < n:  # by halves: slices compare fast
+        mid = (lo + n + 1) // 2
+        if x[lo:mid] == y[lo:mid]:
+            lo = mid
+        else:
+            n = mid - 1
+    return lo
 
 
 def _shard(t: pa.Table) -> int:
@@ -179,112 +235,171 @@ def compare_pieces(t: pa.Table, hot: int) -> pa.Table:
     return _rows(out)
 
 
-def send_bytes(t: pa.Table, replies: pa.Table, length: int, gram: int, n_slices: int) -> pa.Table:
+def send_orders(t: pa.Table, replies: pa.Table, length: int, gram: int, n_slices: int) -> pa.Table:
     if not t.num_rows:
         return _rows([])
     x = Shard(t, length, gram)
     _, merge, hot = x.flags(replies, n_slices)
-    compressor, out = zstandard.ZstdCompressor(level=1), []
-    chosen = np.flatnonzero(merge)
-    i = x.first[chosen]
-    e = H.slice_edges(x.key[i], n_slices)
-    for s in np.flatnonzero(np.diff(e)):
-        j = i[e[s] : e[s + 1]]
-        out.append((int(s), _shard(t), 1, H.pack(x.key[j]), compressor.compress(b"".join(x.piece(p) for p in j)), H.pack_any(np.concatenate([x.windows[j], x.offset[j]]))))
-    _, _, a, b = x.hot_windows(hot)
-    if len(a):
-        key, n = np.unique(np.rec.fromarrays([a, b], names="a,b"), return_counts=True)
-        # a hot piece that the shard has twice repeats all its windows by itself
-        e = H.slice_edges(np.ascontiguousarray(key["a"]), n_slices)
-        for s in np.flatnonzero(np.diff(e)):
-            k = key[e[s] : e[s + 1]]
-            out.append((int(s), _shard(t), 2, H.pack(np.ascontiguousarray(k["a"])), k["b"].astype(np.uint32).tobytes(), np.packbits(n[e[s] : e[s + 1]] > 1).tobytes()))
-    return _rows(out)
-
-
-def refine(text: np.ndarray, start: np.ndarray, block: np.ndarray, length: int) -> np.ndarray:
-    """Which of the windows text[start : start + length] occur more than once among those of their block.
-
-    The interleave starts in the order given (shard by shard); each step deals it out by the SYMBOL bytes
-    before what is known, stably, so that it is the merged order by longer and longer prefixes."""
-    repeated = np.zeros(len(start), bool)
-    if not len(start):
-        return repeated
-    padded = np.concatenate([text, np.zeros(SYMBOL, np.uint8)])
-    symbols = np.lib.stride_tricks.sliding_window_view(padded, SYMBOL)
-    interleave = np.argsort(block, kind="stable")
-    block = block[interleave]
-    step = 0
-    while True:
-        new = np.ones(len(interleave), bool)
-        new[1:] = block[1:] != block[:-1]
-        block = np.cumsum(new) - 1
-        alone = np.bincount(block)[block] < 2
-        if alone.any():
-            interleave, block = interleave[~alone], block[~alone]
-        if step * SYMBOL >= length or not len(interleave):
+    order, compressor = x.chosen(merge, hot), zstandard.ZstdCompressor(level=1)
+    e = H.slice_edges(order.key, n_slices)
+    return _rows([(int(s), _shard(t), 1, *order.message(e[s], e[s + 1], compressor)) for s in np.flatnonzero(np.diff(e))])
+
+
+class Entries:
+    """Entries of several shards, shard by shard, as matrices; offsets from least to most have windows."""
+
+    def __init__(self, length: int, key, windows, offset, right: list[bytes], bwt: list[bytes]):
+        self.key, self.length, self.most, self.least = key, length, offset, offset - windows + 1
+        n, wide = len(key), -(-length // SYMBOL) * SYMBOL
+        self.right = np.frombuffer(b"".join(r.ljust(wide, b"\0") for r in right), np.uint8).reshape(n, wide)
+        deep = int(offset.max(initial=0))
+        self.bwt = np.frombuffer(b"".join(b.ljust(deep, b"\0") for b in bwt), np.uint8).reshape(n, deep)
+
+
+def merge_orders(x: Entries) -> tuple[np.ndarray, np.ndarray]:
+    """The merged order of the entries, and the common prefix of each with the one before it in that
+    order (0 where the anchors differ). x has the shards in turn, each in its suffix order."""
+    n = len(x.key)
+    lcp = np.zeros(n, np.int64)
+    symbols = np.ascontiguousarray(x.right).view(">u8").astype(np.uint64)
+    interleave = np.argsort(x.key, kind="stable")
+    _, block = np.unique(x.key[interleave], return_inverse=True)
+    live = np.arange(n)  # places of the interleave whose block has others
+    for t in range(symbols.shape[1]):
+        twice = np.zeros(len(live), bool)
+        same = block[live[1:]] == block[live[:-1]]
+        twice[1:] |= same
+        twice[:-1] |= same
+        live = live[twice]
+        if not len(live):
+            break
+        who, b = interleave[live], block[live]
+        dealt = np.lexsort((symbols[who, t], b))
+        who = who[dealt]
+        interleave[live] = who
+        s = symbols[who, t]
+        part = (b[1:] == b[:-1]) & (s[1:] != s[:-1])  # a block parts here
+        high = s[1:][part] ^ s[:-1][part]
+        lcp[live[1:][part]] = SYMBOL * t + _equal_bytes(high)
+        # a block number for each place: the first place of the block, so that settled places keep theirs
+        new = np.ones(len(live), bool)
+        new[1:] = (b[1:] != b[:-1]) | (s[1:] != s[:-1])
+        block[live] = (n + live[new])[np.cumsum(new) - 1] + n * (t + 1)
+    same = block[1:] == block[:-1]
+    lcp[1:][same] = x.length
+    return interleave, np.minimum(lcp, x.length)
+
+
+def _equal_bytes(difference: np.ndarray) -> np.ndarray:
+    """How many leading bytes of 8 are 0."""
+    out = np.zeros(len(difference), np.int64)
+    for k in range(1, SYMBOL):
+        out += difference < U(1) << U(64 - 8 * k)
+    return out
+
+
+class RangeMinimum:
+    """Least of values[i : j] for many pairs, from tables of the least of 2 ** k neighbours."""
+
+    def __init__(self, values: np.ndarray):
+        self.levels = [values.astype(np.uint16)]
+        while 2 ** len(self.levels) <= len(values):
+            v, half = self.levels[-1], 2 ** (len(self.levels) - 1)
+            self.levels.append(np.minimum(v[:-half], v[half:]))
+
+    def __call__(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        level = np.frexp((j - i).astype(np.float64))[1] - 1
+        out = np.zeros(len(i), np.int64)
+        for k in np.unique(level):
+            at = np.flatnonzero(level == k)
+            v = self.levels[k]
+            out[at] = np.minimum(v[i[at]], v[j[at] - (1 << int(k))])
+        return out
+
+
+def repeated_windows(x: Entries) -> tuple[np.ndarray, np.ndarray]:
+    """(entry, offset) of the windows that occur more than once among the entries."""
+    interleave, lcp = merge_orders(x)
+    least, most, bwt = x.least[interleave], x.most[interleave], x.bwt[interleave]
+    rmq = RangeMinimum(lcp)
+    _, block = np.unique(x.key[interleave], return_inverse=True)
+    live, who, offsets = np.arange(len(interleave)), [], []
+    for o in range(int(most.max(initial=-1)) + 1):
+        reach = most[live] >= o
+        live, block = live[reach], block[reach]
+        if o and len(live):
+            symbol = (block << 8) | bwt[live, o - 1]
+            dealt = np.argsort(symbol, kind="stable")
+            live, symbol = live[dealt], symbol[dealt]
+            block = np.cumsum(np.append(False, symbol[1:] != symbol[:-1]))
+        if not o & (o - 1) or not o % 16:
+            # an entry alone in its block, or too unlike its neighbours for any window, has none further left
+            same = np.flatnonzero(block[1:] == block[:-1])
+            r = np.full(max(0, len(live) - 1), -1)
+            r[same] = rmq(live[same] + 1, live[same + 1] + 1)
+            best = np.maximum(np.append(-1, r), np.append(r, -1))[: len(live)]
+            keep = (best >= 0) & (best + most[live] >= x.length)
+            live, block = live[keep], block[keep]
+        if not len(live):
             break
-        step += 1
-        at = np.maximum(start[interleave] + length - step * SYMBOL, start[interleave])
-        symbol = np.ascontiguousarray(symbols[at]).view(np.uint64).reshape(-1)
-        dealt = np.argsort(symbol, kind="stable")
-        interleave, symbol, block = interleave[dealt], symbol[dealt], block[dealt]
-        change = np.ones(len(interleave), bool)
-        change[1:] = (symbol[1:] != symbol[:-1]) | (block[1:] != block[:-1])
-        block = np.cumsum(change)
-    repeated[interleave] = True
-    return repeated
+        has = least[live] <= o
+        v, b = live[has], block[has]
+        same = np.flatnonzero(b[1:] == b[:-1])
+        equal = same[rmq(v[same] + 1, v[same + 1] + 1) >= x.length - o]
+        hit = np.union1d(v[equal], v[equal + 1])
+        who.append(interleave[hit])
+        offsets.append(np.full(len(hit), o))
+    z = np.zeros(0, np.int64)
+    return np.concatenate([z, *who]), np.concatenate([z, *offsets])
+
+
+def _entries(keys, rows, length: int):
+    """Right contexts, BWT symbols, windows and offsets of messages, decoded."""
+    right, bwt, windows, offset, inflate = [], [], [], [], zstandard.ZstdDecompressor()
+    for k, (_, _, _, _, b, c) in zip(keys, rows):
+        w, a, lcp = H.unpack_any(c).reshape(3, -1)
+        n = int.from_bytes(b[:8], "little")
+        tails, symbols = inflate.decompress(b[8 : 8 + n]), inflate.decompress(b[8 + n :])
+        sizes, at, last = (w + length - 1 - a).tolist(), 0, b""
+        for size, common in zip(sizes, lcp.tolist()):
+            last = last[:common] + tails[at : at + size - common]
+            at += size - common
+            right.append(last)
+        at = 0
+        for size in a.tolist():
+            bwt.append(symbols[at : at + size])
+            at += size
+        windows.append(w)
+        offset.append(a)
+    return right, bwt, np.concatenate(windows), np.concatenate(offset)
 
 
 def merge_shards(t: pa.Table, length: int) -> pa.Table:
-    """Merge the windows of a slice; a bit for each window back to its shard."""
-    out = []
-    rows = list(zip(*(t[k].to_pylist() for k in ("slice", "shard", "row", "a", "b", "c"))))
-    told = sorted((r for r in rows if r[2] == 1), key=lambda r: r[1])
-    if told:
-        keys = [H.unpack(r[3]) for r in told]
-        meta = [H.unpack_any(r[5]).reshape(2, -1) for r in told]
-        inflate = zstandard.ZstdDecompressor()
-        text = np.frombuffer(b"".join(inflate.decompress(r[4]) for r in told), np.uint8)
-        key, windows, offset = np.concatenate(keys), np.concatenate([m[0] for m in meta]), np.concatenate([m[1] for m in meta])
-        size = windows + length - 1
-        begin = np.cumsum(size) - size
-        before = np.cumsum(windows) - windows
-        bits = np.zeros(int(windows.sum()), bool)
-        # anchors are told apart in batches, so that the vectors stay small
-        order = np.argsort(key, kind="stable")
-        cuts = [0]
-        load = np.cumsum(windows[order])
-        while cuts[-1] < len(order):
-            base = load[cuts[-1] - 1] if cuts[-1] else 0
-            end = max(cuts[-1] + 1, int(np.searchsorted(load, base + BATCH_WINDOWS, side="right")))
-            while end < len(order) and key[order[end]] == key[order[end - 1]]:
-                end += 1
-            cuts.append(end)
-        for lo, hi in zip(cuts, cuts[1:]):
-            p = np.sort(order[lo:hi])  # shard by shard
-            n = windows[p]
-            which = np.repeat(np.arange(len(p)), n)
-            place = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-            # windows can only be equal if anchor and offset are
-            _, anchor = np.unique(key[p], return_inverse=True)
-            block = anchor[which] * (length + 1) + (offset[p][which] - place)
-            bits[before[p][which] + place] = refine(text, begin[p][which] + place, block, length)
-        at = 0
-        for r, m in zip(told, meta):
-            n = int(m[0].sum())
-            out.append((r[0], r[1], 1, np.packbits(bits[at : at + n]).tobytes(), None, None))
-            at += n
-    hot = [r for r in rows if r[2] == 2]
-    if hot:
-        a = [H.unpack(r[3]) for r in hot]
-        b = np.concatenate([np.frombuffer(r[4], np.uint32) for r in hot])
-        twice = np.concatenate([np.unpackbits(np.frombuffer(r[5], np.uint8), count=len(k)) for r, k in zip(hot, a)])
-        _, inverse = np.unique(np.rec.fromarrays([np.concatenate(a), b], names="a,b"), return_inverse=True)
-        many, at = np.bincount(inverse, 1 + twice)[inverse] > 1, 0
-        for r, k in zip(hot, a):
-            out.append((r[0], r[1], 2, np.packbits(many[at : at + len(k)]).tobytes(), None, None))
-            at += len(k)
+    """Merge the orders of a slice; a bit for each window back to its shard."""
+    told = sorted(zip(*(t[k].to_pylist() for k in ("slice", "shard", "row", "a", "b", "c"))), key=lambda r: r[1])
+    if not told:
+        return _rows([])
+    keys = [H.unpack(r[3]) for r in told]
+    right, bwt, windows, offset = _entries(keys, told, length)
+    key = np.concatenate(keys)
+    before = np.cumsum(windows) - windows
+    bits = np.zeros(int(windows.sum()), bool)
+    # anchors are merged in batches, so that the matrices stay small
+    order, cuts = np.argsort(key, kind="stable"), [0]
+    while cuts[-1] < len(order):
+        end = min(len(order), cuts[-1] + BATCH_PIECES)
+        while end < len(order) and key[order[end]] == key[order[end - 1]]:
+            end += 1
+        cuts.append(end)
+    for lo, hi in zip(cuts, cuts[1:]):
+        p = np.sort(order[lo:hi])  # shard by shard
+        who, o = repeated_windows(Entries(length, key[p], windows[p], offset[p], [right[i] for i in p], [bwt[i] for i in p]))
+        bits[before[p[who]] + offset[p[who]] - o] = True
+    out, at = [], 0
+    for r, k in zip(told, keys):
+        first = before[at]
+        at += len(k)
+        out.append((r[0], r[1], 1, np.packbits(bits[first : before[at] if at < len(before) else len(bits)]).tobytes(), None, None))
     return _rows(out)
 
 
@@ -298,23 +413,18 @@ def cut(t: pa.Table, replies: pa.Table, length: int, gram: int, n_slices: int, w
     windows = x.windows[x.first]
     base = np.cumsum(windows) - windows
     repeated = np.repeat(again, windows)
-    answers = {(r, s): a for s, r, a in zip(*(replies[k].to_pylist() for k in ("slice", "row", "a"))) if r}
-    chosen = np.flatnonzero(merge)
-    e = H.slice_edges(x.key[x.first[chosen]], n_slices)
+    answers = {s: a for s, r, a in zip(*(replies[k].to_pylist() for k in ("slice", "row", "a"))) if r}
+    order = x.chosen(merge, hot)
+    e = H.slice_edges(order.key, n_slices)
     for s in np.flatnonzero(np.diff(e)):
-        j = chosen[e[s] : e[s + 1]]
-        n = windows[j]
-        bits = np.unpackbits(np.frombuffer(answers[1, int(s)], np.uint8), count=int(n.sum())).astype(bool)
-        at = np.repeat(base[j], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        n = order.windows[e[s] : e[s + 1]]
+        bits = np.unpackbits(np.frombuffer(answers[int(s)], np.uint8), count=int(n.sum())).astype(bool)
+        at = np.repeat(base[order.piece[e[s] : e[s + 1]]] + order.place[e[s] : e[s + 1]], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
         repeated[at] |= bits
-    which, place, a, b = x.hot_windows(hot)
-    if len(a):
-        key, inverse = np.unique(np.rec.fromarrays([a, b], names="a,b"), return_inverse=True)
-        e = H.slice_edges(np.ascontiguousarray(key["a"]), n_slices)
-        many = np.concatenate([np.unpackbits(np.frombuffer(answers[2, int(s)], np.uint8), count=e[s + 1] - e[s]) for s in np.flatnonzero(np.diff(e))]).astype(bool)
-        repeated[base[which] + place] |= many[inverse]
     # all pieces, by document
-    by = np.argsort(x.doc, kind="stable")
+    some = np.add.reduceat(repeated, base).astype(bool) if len(base) else repeated
+    by = np.flatnonzero(some[x.which]) if len(base) else x.which
+    by = by[np.argsort(x.doc[by], kind="stable")]
     first = np.searchsorted(x.doc[by], np.arange(len(x.texts) + 1))
     rows = []
     for d, raw in enumerate(x.texts):
@@ -348,10 +458,10 @@ def dedup_suffixes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with
     if length % SYMBOL or not SYMBOL <= gram < length:
         raise ValueError("length must be a multiple of 8, and gram from 8 to less than it")
     n_shards, n_slices = parts(docs, shard_mb), parts(docs, slice_mb)
-    base = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(n_shards)).cast("int").alias("shard"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    told = base.groupBy("shard").applyInArrow(lambda t: tell_pieces(t, length, gram, n_slices), MESSAGE)
-    known = told.groupBy("slice").applyInArrow(lambda t: compare_pieces(t, hot), MESSAGE)
-    sent = base.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(lambda a, b: send_bytes(a, b, length, gram, n_slices), MESSAGE)
-    merged = sent.groupBy("slice").applyInArrow(lambda t: merge_shards(t, length), MESSAGE)
+    base = bounded_batches(docs).select(F.pmod(F.xxhash64("doc_id"), F.lit(n_shards)).cast("int").alias("shard"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    told = base.groupBy("shard").applyInArrow(trimmed(lambda t: tell_pieces(t, length, gram, n_slices)), MESSAGE)
+    known = told.groupBy("slice").applyInArrow(trimmed(lambda t: compare_pieces(t, hot)), MESSAGE)
+    sent = base.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(trimmed(lambda a, b: send_orders(a, b, length, gram, n_slices)), MESSAGE)
+    merged = sent.groupBy("slice").applyInArrow(trimmed(lambda t: merge_shards(t, length)), MESSAGE)
     answers = known.unionByName(merged)
-    return base.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(lambda a, b: cut(a, b, length, gram, n_slices, with_bytes), RESULT)
+    return base.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(trimmed(lambda a, b: cut(a, b, length, gram, n_slices, with_bytes)), RESULT)
