@@ -176,7 +176,7 @@ def test_training_rows_are_the_least_hashes_of_every_label(spark):
     assert model.languages == ["aa", "bb", "cc"]
     hashes = sorted((r.h, r.lang, r.text) for r in df.dropna().distinct().withColumn("h", F.xxhash64("text", F.lit(7))).collect())
     for k, row in zip(model.languages, model.table):
-        counts = sum(np.bincount(L.trigrams(t.encode()), minlength=L.BUCKETS) for t in [t for _, x, t in hashes if x == k][:4])
+        counts = sum(np.bincount(naive_trigrams(t.encode()), minlength=L.BUCKETS) for t in [t for _, x, t in hashes if x == k][:4])
         assert np.allclose(row, np.log((counts + 0.1) / (counts.sum() + 0.1 * L.BUCKETS)))
 
 
@@ -192,12 +192,96 @@ def test_pages_are_judged_by_markup_and_address(spark, tmp_path):
     assert got[1].n_trigrams == got[2].n_trigrams == got[3].n_trigrams
 
 
+def naive_trigrams(raw):
+    """Trigrams of one text, letter by letter."""
+    letters = [0]
+    for b in raw:
+        x = b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 0
+        if x or letters[-1]:
+            letters.append(x)
+    letters += [0] if letters[-1] else []
+    return [((x * 65599 + y * 257 + z) * 2654435761 >> 7) & (L.BUCKETS - 1) for x, y, z in zip(letters, letters[1:], letters[2:])] if len(letters) > 2 else []
+
+
+def test_trigrams_of_many_texts():
+    r = random.Random(4)
+    texts = ["".join(r.choice("aBc \n.é9") for _ in range(r.randrange(12))).encode() for _ in range(300)] + [b"", b"   ", b"x", "ß".encode() * 3]
+    hashed, owner = L.trigrams(texts)
+    for i, t in enumerate(texts):
+        assert hashed[owner == i].tolist() == naive_trigrams(t)
+
+
+def brute_posteriors(model, rows):
+    """rows: (text, declared, host, suffix). The posteriors of each, by the formulas of the module's text."""
+    langs, n = model.languages, len(model.languages)
+    soft = lambda x: np.exp(x - x.max()) / np.exp(x - x.max()).sum()
+    grams = [naive_trigrams((t or "").encode()) for t, *_ in rows]
+    evidence = [min(len(g), L.TEMPER) * model.table[:, g].mean(1) if g else np.zeros(n) for g in grams]
+    hints = [(d and re.match("[a-z]*", d.lower())[0], L.SUFFIX_LANGUAGE.get((s or "").lower())) for _, d, _, s in rows]
+    logs = [e.copy() for e in evidence]
+    for k, guess in enumerate((L.DECLARED_RELIABLE, L.SUFFIX_RELIABLE)):
+        borne = [soft(e)[langs.index(h[k])] for e, g, h in zip(evidence, grams, hints) if g and h[k] in langs]
+        rate = min(L.MOST_RELIABLE, max(1 / n, (sum(borne) + guess * L.PRIOR_ROWS) / (len(borne) + L.PRIOR_ROWS)))
+        for x, h in zip(logs, hints):
+            if h[k] in langs:
+                x += [np.log(rate if y == h[k] else (1 - rate) / (n - 1)) for y in langs]
+    counts = lambda test: sum((soft(x) for x, g, (_, _, host, _) in zip(logs, grams, rows) if g and test(host)), np.zeros(n))
+    whole = counts(lambda h: True) + 1
+    out = []
+    for x, (_, _, host, _) in zip(logs, rows):
+        prior = whole / whole.sum()
+        if host is not None:
+            top, domain = re.search(r"\.([^.]+)$", host), re.search(r"([^.]+\.[^.]+)$", host)
+            for found in (top and (lambda h: h is not None and h.endswith("." + top[1])), domain and (lambda h: h is not None and ("." + h).endswith("." + domain[1])), lambda h: h == host):
+                if found:
+                    c = counts(found)
+                    prior = (c + L.HOST_STRENGTH * prior) / (c.sum() + L.HOST_STRENGTH)
+        out.append(soft(x + np.log(prior)))
+    return out
+
+
+def test_posteriors_against_brute_force(spark):
+    """Text, declared language, suffix and host priors fused row by row; kept and margin follow."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = L.train(docs, per_language=20)
+    r = random.Random(2)
+    texts = [x.text for x in docs.orderBy("doc_id").limit(40).collect()]
+    rows = [(r.choice([None, "", "12 %", "zq", "und", "the", r.choice(texts)[:60], r.choice(texts)]), r.choice([None, "en", "DE-at", "fr", "xx", "es"]), r.choice([None, "a.b.de", "c.b.de", "x.de", "src1", "w.fr", "q.w.fr"]), r.choice([None, "de", "FR", "test"])) for _ in range(120)]
+    df = spark.createDataFrame([(i, *x, 1, "clash", 0.5) for i, x in enumerate(rows)], "doc_id long, text string, said string, host string, suffix string, id int, means string, p double").repartition(4)
+    got = {x.doc_id: x for x in L.identify(df, model, declared=F.col("said"), host=F.col("host"), suffix=F.col("suffix"), carry=("id", "means", "host")).collect()}
+    for i, (p, (text, _, host, _)) in enumerate(zip(brute_posteriors(model, rows), rows)):
+        g = naive_trigrams((text or "").encode())
+        x = got[i]
+        assert (x.id, x.means, x.host, x.n_trigrams) == (1, "clash", host, len(g))
+        assert x.posterior == pytest.approx(p.max(), abs=1e-6)
+        assert x.language == (model.languages[int(p.argmax())] if g else None)
+        if g:
+            margin = model.table[int(p.argmax()), g].mean() - model.even
+            assert x.text_margin == pytest.approx(margin)
+            assert x.kept == (p.max() >= L.LEAST_POSTERIOR and (margin > 0 or len(g) < 20))
+
+
+def test_equal_posteriors_take_the_first_language(spark):
+    model = L.Model(["aa", "bb"], np.zeros((2, L.BUCKETS)), -10.0)
+    got = L.identify(spark.createDataFrame([(1, "word"), (2, "w " * 200_000)], "doc_id long, text string"), model).collect()
+    assert {(x.language, x.posterior) for x in got} == {("aa", 0.5)}
+    assert {x.n_trigrams for x in got} == {4, 399_999}
+
+
+def test_more_labels_than_are_trained(spark, monkeypatch):
+    monkeypatch.setattr(L, "MOST_LABELS", 3)
+    rows = [(f"{x}{y}", f"text of {x}{y} {i}") for x in "abc" for y in "abc" for i in range(1 + (x == "b"))] + [("EN-us", "one"), ("en-GB", "two"), ("en", "three")]
+    model = L.train(spark.createDataFrame(rows, "lang string, text string"))
+    assert model.languages == ["ba", "bb", "en"]
+
+
 def test_host_prior_moves_short_texts(spark):
-    model = L.train(spark.read.parquet(f"{SF}/documents.parquet"))
-    base = spark.read.parquet(f"{SF}/documents.parquet").where("lang = 'de'").limit(60).selectExpr("doc_id", "text", "'d.example' AS host")
-    df = base.unionByName(spark.createDataFrame([(10**6, "en", "d.example"), (10**6 + 1, "en", "other.test")], "doc_id long, text string, host string"))
-    p = {r.doc_id: r for r in L.identify(df, model, host=F.col("host")).collect()}
-    assert p[10**6].language == "de" and p[10**6].posterior > p[10**6 + 1].posterior or p[10**6 + 1].language != "de"
+    base = spark.read.parquet(f"{SF}/documents.parquet")
+    model = L.train(base)
+    side = lambda lang, host: base.where(f"lang = '{lang}'").limit(30).selectExpr("doc_id", "text", f"'{host}' AS host")
+    df = side("de", "d.example").unionByName(side("fr", "f.example")).unionByName(spark.createDataFrame([(10**6, "zq", "d.example"), (10**6 + 1, "zq", "f.example")], "doc_id long, text string, host string"))
+    p = {r.doc_id: r.language for r in L.identify(df, model, host=F.col("host")).collect()}
+    assert (p[10**6], p[10**6 + 1]) == ("de", "fr")
 
 
 # -- quality

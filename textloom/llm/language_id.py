@@ -5,19 +5,26 @@ posterior(language) ~ prior(host) * P(text | language) * P(declared | language)
 * Text: byte trigrams of the lower-cased text, hashed to BUCKETS, with smoothed multinomials for each
   language that are trained on labelled rows. Trigrams of a text are not independent, so the log
   likelihood is tempered: its mean for a trigram times the smaller of their number and TEMPER.
-* Declared markup language and address suffix agree with the language with fixed reliabilities, and
-  else name any other one evenly; unknown or missing ones say nothing.
-* Host priors: tempered text evidence makes soft counts by host, by grouped aggregation over all rows;
-  a host's prior is its counts smoothed by its parent domain's, those by the whole table's, those by
-  an even prior. One row for each host is joined back; the table of hosts is broadcast only if small.
-
+* Declared markup language and address suffix agree with the language with some reliability, and else
+  name any other one evenly. How reliable either is, is measured: it is the mean text posterior of the
+  language that is said, over all rows that say a known one, with PRIOR_ROWS rows of the prior guess. So a
+  label that texts do not bear out says little, and none decides its own row. Unknown or missing ones say
+  nothing.
+* Host priors: tempered evidence makes soft counts by host, by grouped aggregation over all rows; a
+  host's prior is its counts smoothed by its domain's, those by its suffix's, those by the whole table's,
+  those by an even prior. One row for each host is joined back; the table is broadcast only if small.
+
+Each text is scored once, in batches; the scores are written with the rows, and what follows reads them.
 A row is kept if it has letters enough to say anything, its best language beats the even guess
 clearly, and its text is not less likely under that language than text of even bytes.
 
 Defined results: null or empty text, or text without letters, has no language and is not kept; a null
-host has the whole table's prior; rows that share a doc_id are judged each on their own; an empty
-table gives no rows; with no labelled rows at all nothing can be told and nothing is kept; columns
-other than those named are not read.
+host has the whole table's prior, and a host without a dot has no domain; of languages with equal
+posteriors the first by name counts; labels and declared languages count by their first letters a-z in
+small letters, so en-US is en; of more than MOST_LABELS labels those with most rows are trained; very long
+texts are scored whole; rows that share a doc_id are judged each on their own; an empty table gives no
+rows; with no labelled rows at all nothing can be told and nothing is kept; columns other than those named
+are not read.
 """
 
 from __future__ import annotations
@@ -29,18 +36,24 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from textloom.llm.common import as_bytes, bounded_batches, materialize, trim
+from textloom.llm import hashing as H
+from textloom.llm.common import as_bytes, bounded_batches, discard, materialize, trim
 
 BUCKETS = 1 << 15
 #: The classifier is fitted on this many distinct labelled texts of each language at most.
 TRAIN_ROWS = 500
 TEMPER = 60.0
+#: Prior guesses, and the rows that they count as.
 DECLARED_RELIABLE = 0.8
 SUFFIX_RELIABLE = 0.6
+PRIOR_ROWS = 20.0
+MOST_RELIABLE = 0.95
 HOST_STRENGTH = 20.0
 LEAST_POSTERIOR = 0.5
 BROADCAST_ROWS = 200_000
+#: So many languages are trained at most.
 MOST_LABELS = 200
 
 #: Address suffixes that hint at a language (fixed values: country codes).
@@ -52,16 +65,26 @@ _LETTER[65:91] = np.arange(97, 123)
 _LETTER[128:] = np.arange(128, 256)
 
 
-def trigrams(raw: bytes) -> np.ndarray:
-    """Hashed byte trigrams of letters and single gaps; all that is not a letter is a gap."""
-    a = _LETTER[np.frombuffer(raw, np.uint8)].astype(np.int64)
-    if not a.any():
-        return np.zeros(0, np.int64)
-    a = np.concatenate([[0], a, [0]])
-    a = a[(a != 0) | (np.concatenate([[1], a[:-1]]) != 0)]
-    if len(a) < 3:
-        return np.zeros(0, np.int64)
-    return ((a[:-2] * 65599 + a[1:-1] * 257 + a[2:]) * 2654435761 >> 7) & (BUCKETS - 1)
+def trigrams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed byte trigrams of letters and single gaps, and for each the index of its text; all that is not
+    a letter is a gap, and a text has one at both ends."""
+    hashed, owner = [], []
+    for lo, hi in H.blocks(texts):
+        raw = np.frombuffer(b"\n" + b"\n".join(texts[lo:hi]) + b"\n", np.uint8)
+        ends = np.cumsum([0] + [len(t) + 1 for t in texts[lo:hi]])
+        letter = _LETTER[raw]
+        gap = letter == 0
+        at = np.flatnonzero(~gap | np.append(True, ~gap[:-1]))  # the first of each run of gaps
+        if len(at) < 3:
+            continue
+        a, text = letter[at].astype(np.int64), np.searchsorted(ends, at, side="right") - 1
+        # a gap between the last letter of a text and the first of a later one is no trigram of either
+        inside = np.flatnonzero((a[1:-1] != 0) | (text[:-2] == text[2:]))
+        hashed.append(((a[inside] * 65599 + a[inside + 1] * 257 + a[inside + 2]) * 2654435761 >> 7) & (BUCKETS - 1))
+        owner.append(np.where(a[inside + 1] != 0, text[inside + 1], text[inside]) + lo)
+    if not hashed:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate(hashed), np.concatenate(owner)
 
 
 @dataclass
@@ -72,12 +95,17 @@ class Model:
     table: np.ndarray
     even: float
 
-    def means(self, raw: bytes) -> tuple[np.ndarray, int]:
-        """Mean log likelihood of a trigram for each language, and the number of trigrams."""
-        g = trigrams(raw)
-        if not len(g):
-            return np.zeros(len(self.languages)), 0
-        return self.table[:, g].mean(1), len(g)
+    def means(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Mean log likelihoods of a trigram (texts x languages), and the numbers of trigrams."""
+        g, owner = trigrams(texts)
+        n = np.bincount(owner, minlength=len(texts))
+        total = np.stack([np.bincount(owner, row[g], minlength=len(texts)) for row in self.table], 1) if len(self.languages) else np.zeros((len(texts), 0))
+        return total / np.maximum(n, 1)[:, None], n
+
+
+def normal(language: Column) -> Column:
+    """The first letters a-z of a label or declared language, in small letters; null without any."""
+    return F.nullif(F.regexp_extract(F.lower(language.cast("string")), "^[a-z]+", 0), F.lit(""))
 
 
 def train(rows: DataFrame, text: str = "text", label: str = "lang", per_language: int = TRAIN_ROWS) -> Model:
@@ -85,10 +113,9 @@ def train(rows: DataFrame, text: str = "text", label: str = "lang", per_language
     hashes, or all if it has fewer, so that every language with a row is in the model and copies count
     once. The counts are made where the rows are; one row for each language comes to the driver."""
     bounded_batches(rows)
-    labelled = rows.where(F.col(label).isNotNull() & F.col(text).isNotNull()).select(F.col(label).cast("string").alias("label"), F.col(text).alias("text"), F.xxhash64(F.col(text), F.lit(7)).alias("hash"))
-    sizes = labelled.select("label").distinct().limit(MOST_LABELS + 1).count()
-    if sizes > MOST_LABELS:
-        raise ValueError(f"{label} has more than {MOST_LABELS} values; it can't be a language")
+    labelled = rows.select(normal(F.col(label)).alias("label"), F.col(text).alias("text"), F.xxhash64(F.col(text), F.lit(7)).alias("hash")).where("label IS NOT NULL AND text IS NOT NULL")
+    common = labelled.groupBy("label").count().orderBy(F.desc("count"), "label").limit(MOST_LABELS).select("label")
+    labelled = labelled.join(F.broadcast(common), "label")
 
     def least(batches):
         kept: dict[str, np.ndarray] = {}
@@ -96,11 +123,11 @@ def train(rows: DataFrame, text: str = "text", label: str = "lang", per_language
             labels = b.column("label").dictionary_encode()
             at, h = labels.indices.to_numpy(), b.column("hash").to_numpy()
             for i, k in enumerate(labels.dictionary.to_pylist()):
-                kept[k] = np.unique(np.concatenate([kept.get(k, h[:0]), h[at == i]]))[:per_language]
+                kept[k] = H.distinct(np.concatenate([kept.get(k, h[:0]), h[at == i]]))[:per_language]
         yield pa.RecordBatch.from_arrays([pa.array(list(kept), pa.string()), pa.array(list(kept.values()), pa.list_(pa.int64()))], ["label", "hashes"])
 
     def limit(t: pa.Table) -> pa.Table:
-        hashes = np.unique(t["hashes"].combine_chunks().flatten().to_numpy())[:per_language]
+        hashes = H.distinct(t["hashes"].combine_chunks().flatten().to_numpy())[:per_language]
         return pa.table({"label": t["label"][:1], "most": pa.array(hashes[-1:], pa.int64())})
 
     limits = labelled.select("label", "hash").mapInArrow(least, "label string, hashes array<long>").groupBy("label").applyInArrow(limit, "label string, most long")
@@ -111,7 +138,7 @@ def train(rows: DataFrame, text: str = "text", label: str = "lang", per_language
         for b in batches:
             for lang, raw in zip(b.column("label").to_pylist(), as_bytes(b.column("text"))):
                 total.setdefault(lang, np.zeros(BUCKETS))
-                total[lang] += np.bincount(trigrams(raw), minlength=BUCKETS)
+                total[lang] += np.bincount(trigrams([raw])[0], minlength=BUCKETS)
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array([v.tobytes() for v in total.values()], pa.binary())], ["label", "counts"])
 
     def merge(t: pa.Table) -> pa.Table:
@@ -131,6 +158,14 @@ def _agreement(said: Column, languages: list[str], reliable: float) -> Column:
     return F.array(*(F.when(known, F.when(said == k, math.log(reliable)).otherwise(other)).otherwise(0.0) for k in languages))
 
 
+def _reliability(scored: DataFrame, said: str, languages: list[str], guess: float) -> tuple[Column, Column]:
+    """Sums over rows that say a known language: its text posterior, and 1."""
+    p = _softmax(F.col("evidence"))
+    known = F.col(said).isin(languages) & (F.col("n") > 0)
+    borne = F.element_at(p, F.array_position(F.array(*(F.lit(k) for k in languages)), F.col(said)).cast("int"))
+    return F.sum(F.when(known, borne)), F.count(F.when(known, 1))
+
+
 def _softmax(logs: Column) -> Column:
     most = F.array_max(logs)
     e = F.transform(logs, lambda x: F.exp(x - most))
@@ -142,50 +177,67 @@ def identify(rows: DataFrame, model: Model, id_column: str = "doc_id", text: str
     """Returns id_column, language (null if none can be told), posterior, text_margin (mean log
     likelihood of a trigram above even bytes), n_trigrams, kept; and the columns of `carry`, whole."""
     langs = model.languages
+    n = len(langs)
     bounded_batches(rows)
     null = F.lit(None).cast("string")
-    base = rows.select(F.struct(F.col(id_column).alias("id"), *(F.col(c) for c in carry)).alias("row"), F.col(text).alias("text"), F.lower(declared if declared is not None else null).alias("declared"), (host if host is not None else null).alias("host"), F.lower(suffix if suffix is not None else null).alias("suffix"))
-
-    if not langs:
-        return base.select("row.*", null.alias("language"), F.lit(0.0).alias("posterior"), F.lit(0.0).alias("text_margin"), F.lit(0).cast("long").alias("n_trigrams"), F.lit(False).alias("kept")).withColumnRenamed("id", id_column)
-
-    @F.pandas_udf("struct<means: array<double>, n: long>")
-    def likelihood(texts):
-        import pandas as pd
-
-        got = [model.means((x or "").encode()) for x in texts]
+    own = [F.col(f"row.x{i}").alias(c) for i, c in enumerate((id_column, *carry))]
+    row = F.struct(*(F.col(c).alias(f"x{i}") for i, c in enumerate((id_column, *carry))))
+    if not n:
+        return rows.select(row.alias("row")).select(*own, null.alias("language"), F.lit(0.0).alias("posterior"), F.lit(0.0).alias("text_margin"), F.lit(0).cast("long").alias("n_trigrams"), F.lit(False).alias("kept"))
+
+    @F.arrow_udf(T.StructType([T.StructField("means", T.ArrayType(T.DoubleType())), T.StructField("n", T.LongType())]))
+    def likelihood(texts: pa.Array) -> pa.Array:
+        means, size = model.means(as_bytes(texts))
+        lists = pa.ListArray.from_arrays(np.arange(len(size) + 1) * n, means.reshape(-1))
         trim()
-        return pd.DataFrame({"means": [m.tolist() for m, _ in got], "n": [n for _, n in got]})
+        return pa.StructArray.from_arrays([lists, pa.array(size, pa.int64())], ["means", "n"])
 
     hint = F.create_map(*(F.lit(x) for kv in SUFFIX_LANGUAGE.items() for x in kv))
-    scored = base.withColumn("seen", likelihood("text"))
-    evidence = F.transform(F.col("seen.means"), lambda m: m * F.least(F.col("seen.n").cast("double"), F.lit(TEMPER)))
+    said = rows.select(row.alias("row"), likelihood(F.col(text)).alias("seen"), normal(declared if declared is not None else null).alias("declared"), (host if host is not None else null).alias("host"), F.try_element_at(hint, F.lower(suffix if suffix is not None else null)).alias("suffix"))
+    scored = materialize(said.select("row", "declared", "host", "suffix", F.col("seen.means").alias("means"), F.col("seen.n").alias("n")), "scored")
+    scored = scored.withColumn("evidence", F.transform("means", lambda m: m * F.least(F.col("n").cast("double"), F.lit(TEMPER))))
     add = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
-    scored = scored.withColumn("logs", add(add(evidence, _agreement(F.regexp_extract("declared", "^[a-z]+", 0), langs, DECLARED_RELIABLE)), _agreement(F.try_element_at(hint, F.col("suffix")), langs, SUFFIX_RELIABLE)))
+    sources = (("declared", DECLARED_RELIABLE), ("suffix", SUFFIX_RELIABLE))
+    sums = scored.agg(*(x.alias(f"{k}{i}") for k, guess in sources for i, x in enumerate(_reliability(scored, k, langs, guess)))).first()
+    logs = F.col("evidence")
+    for k, guess in sources:
+        rate = ((sums[f"{k}0"] or 0.0) + guess * PRIOR_ROWS) / (sums[f"{k}1"] + PRIOR_ROWS)
+        logs = add(logs, _agreement(F.col(k), langs, min(MOST_RELIABLE, max(1 / n, rate))))
+    scored = scored.withColumn("logs", logs)
     # soft counts by host, from all rows with evidence
-    soft = scored.select("host", (F.col("seen.n") > 0).alias("told"), _softmax(F.col("logs")).alias("p"))
-    sums = [F.sum(F.when(F.col("told"), F.element_at("p", i + 1)).otherwise(0.0)).alias(f"c{i}") for i in range(len(langs))]
-    by_host = materialize(soft.groupBy("host").agg(*sums), "hosts")
-    domain = F.regexp_extract(F.coalesce("host", F.lit("")), r"([^.]*\.[^.]*)$", 1)
-    total = by_host.agg(*(F.sum(f"c{i}").alias(f"c{i}") for i in range(len(langs)))).first()
-    whole = np.array([float(total[f"c{i}"] or 0) for i in range(len(langs))]) + 1.0
+    soft = scored.where("n > 0").select("host", _softmax(F.col("logs")).alias("p"))
+    by_host = soft.groupBy("host").agg(*(F.sum(F.element_at("p", i + 1)).alias(f"c{i}") for i in range(n)))
+    label = lambda k: F.regexp_extract(F.coalesce("host", F.lit("")), k, 1)
+    by_host = materialize(by_host.withColumn("domain", label(r"([^.]+\.[^.]+)$")).withColumn("top", label(r"\.([^.]+)$")), "hosts")
+    total = by_host.agg(*(F.sum(f"c{i}").alias(f"c{i}") for i in range(n))).first()
+    whole = np.array([float(total[f"c{i}"] or 0) for i in range(n)]) + 1.0
     whole /= whole.sum()
-    smooth = lambda counts, prior: [(c + HOST_STRENGTH * p) / (sum(counts, F.lit(0.0)) + HOST_STRENGTH) for c, p in zip(counts, prior)]
-    by_domain = by_host.groupBy(domain.alias("domain")).agg(*(F.sum(f"c{i}").alias(f"d{i}") for i in range(len(langs))))
-    up = smooth([F.col(f"d{i}") for i in range(len(langs))], [F.lit(float(w)) for w in whole])
-    hosts = by_host.where("host IS NOT NULL").withColumn("domain", domain).join(by_domain.select("domain", *(u.alias(f"u{i}") for i, u in enumerate(up))), "domain")
-    hosts = hosts.select("host", F.array(*(F.log(x) for x in smooth([F.col(f"c{i}") for i in range(len(langs))], [F.col(f"u{i}") for i in range(len(langs))]))).alias("prior"))
-    hosts = materialize(hosts, "priors")
+
+    def smooth(counts: str, prior: list) -> list:
+        """A level's shares of its soft counts, smoothed by those of the level above."""
+        own_counts = [F.col(f"{counts}{i}") for i in range(n)]
+        return [(c + HOST_STRENGTH * p) / (sum(own_counts, F.lit(0.0)) + HOST_STRENGTH) for c, p in zip(own_counts, prior)]
+
+    def level(key: str, mark: str) -> DataFrame:
+        return by_host.where(F.col(key) != "").groupBy(key).agg(*(F.sum(f"c{i}").alias(f"{mark}{i}") for i in range(n)))
+
+    even = [F.lit(float(w)) for w in whole]
+    tops = level("top", "t").select("top", *(x.alias(f"pt{i}") for i, x in enumerate(smooth("t", even))))
+    domains = level("domain", "d").withColumn("top", F.regexp_extract("domain", r"\.([^.]+)$", 1)).join(tops, "top")
+    domains = domains.select("domain", *(x.alias(f"pd{i}") for i, x in enumerate(smooth("d", [F.col(f"pt{i}") for i in range(n)]))))
+    hosts = by_host.where("host IS NOT NULL").join(domains, "domain", "left")
+    above = [F.coalesce(F.col(f"pd{i}"), w) for i, w in enumerate(even)]
+    hosts = materialize(hosts.select("host", F.array(*(F.log(x) for x in smooth("c", above))).alias("prior")), "priors")
+    discard(by_host)
     if hosts.count() <= BROADCAST_ROWS:
         hosts = F.broadcast(hosts)
-    even = F.array(*(F.lit(float(math.log(w))) for w in whole))
-    p = _softmax(add(F.col("logs"), F.coalesce("prior", even)))
+    p = _softmax(add(F.col("logs"), F.coalesce("prior", F.array(*(F.log(w) for w in even)))))
     out = scored.join(hosts, "host", "left").withColumn("p", p).withColumn("posterior", F.array_max("p"))
     at = F.array_position("p", F.col("posterior")).cast("int")
-    out = out.withColumn("language", F.when(F.col("seen.n") > 0, F.element_at(F.array(*(F.lit(k) for k in langs)), at)))
-    out = out.withColumn("text_margin", F.element_at(F.col("seen.means"), at) - model.even)
-    kept = (F.col("seen.n") > 0) & (F.col("posterior") >= LEAST_POSTERIOR) & ((F.col("text_margin") > 0) | (F.col("seen.n") < 20))
-    return out.select("row.*", "language", "posterior", "text_margin", F.col("seen.n").alias("n_trigrams"), kept.alias("kept")).withColumnRenamed("id", id_column)
+    out = out.withColumn("language", F.when(F.col("n") > 0, F.element_at(F.array(*(F.lit(k) for k in langs)), at)))
+    out = out.withColumn("text_margin", F.element_at("means", at) - model.even)
+    kept = (F.col("n") > 0) & (F.col("posterior") >= LEAST_POSTERIOR) & ((F.col("text_margin") > 0) | (F.col("n") < 20))
+    return out.select(*own, "language", "posterior", "text_margin", F.col("n").alias("n_trigrams"), kept.alias("kept"))
 
 
 def address_parts(url: Column) -> tuple[Column, Column]:
