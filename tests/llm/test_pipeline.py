@@ -6,10 +6,11 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as C
-from tests.llm.fixtures import SCHEMA, empty, rows
-from tests.llm.test_dedup import joined, words_removed
+from tests.llm.fixtures import SCHEMA, empty, pairs, rows
+from tests.llm.test_dedup import joined
 from tests.llm.test_texts import contaminated
 from textloom.llm import queries
+from textloom.llm.common import made_tables
 
 
 @pytest.fixture(scope="module")
@@ -50,8 +51,8 @@ def test_stages(spark, corpus):
 
     cut = step["substring_dedup"](spark, single, corpus)
     assert cut.columns == columns
-    removed = {(i, n): (k, h) for i, n, k, h in words_removed(content(single))}
-    assert len(cut.collect()) == sum(1 for (i, n), (k, _) in removed.items() if k < n or k == 0) or len(removed) < single.count()
+    assert content(cut) == words_kept(content(single))
+    assert set(content(cut)) != set(content(single))
     for r in cut.collect():
         assert r.n_chars is None or r.text is None or r.n_chars == len(r.text)
 
@@ -66,10 +67,77 @@ def test_stages(spark, corpus):
     assert {r.doc_id for r in packed} == {i for i, _ in content(clean)}
 
 
+def words_kept(data, width=13):
+    """Rows without the words under windows that start in a smaller doc_id too; rows that lose all go."""
+    first = {}
+    for i, t in data:
+        w = (t or "").encode().split()
+        for k in range(len(w) - width + 1) if i is not None else ():
+            first[tuple(w[k : k + width])] = min(i, first.get(tuple(w[k : k + width]), i))
+    out = []
+    for i, t in data:
+        w = (t or "").encode().split()
+        keep = [True] * len(w)
+        for k in range(len(w) - width + 1) if i is not None else ():
+            if first[tuple(w[k : k + width])] < i:
+                keep[k : k + width] = [False] * width
+        if all(keep):
+            out.append((i, t))
+        elif any(keep):
+            out.append((i, b" ".join(x for x, y in zip(w, keep) if y).decode()))
+    return sorted(out, key=repr)
+
+
+def packed_ids(texts):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path(C.TOKENIZER))
+    return [(i, [*t.encode(x or "", add_special_tokens=False).ids, 1]) for i, x in texts]
+
+
 def test_run(spark, corpus):
+    """run() against a chain of brute-force stages (what language ID keeps is tested in test_stages and test_texts)."""
+    import struct
+    import zlib
+    from collections import Counter, defaultdict
+
+    docs = spark.read.parquet(f"{corpus}/documents.parquet")
+    data = content(C.language_id(spark, docs, corpus))
+    root = {i: c for i, _, c, _ in joined(data, 5, 80)}
+    data = [x for x in data if x[0] is None] + sorted({x for x in data if x[0] is not None and root[x[0]] == x[0]}, key=repr)
+    data = words_kept(data)
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{corpus}/benchmark.parquet").collect()]
+    bad = {x[0] for x in contaminated(data, items) if x[-1] and x[0] is not None}
+    expected = packed_ids([x for x in data if x[0] not in bad])
+    # every id of every text, once, in pieces that their checksums prove
+    pieces = set()
+    for i, ids in expected:
+        for start in range(len(ids)):
+            for end in range(start + 1, min(len(ids), start + 2048) + 1) if len(ids) < 300 else ():
+                pieces.add((i, start, end - start, zlib.crc32(struct.pack(f"<{end - start}I", *ids[start:end])), len(ids)))
+    long = defaultdict(list)
+    for i, ids in expected:
+        long[i, len(ids)].append(ids)
+    before = made_tables()
     got = C.run(spark, corpus)
+    assert len(made_tables() - before) == 1  # nothing is left but the result
     assert got.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
-    assert got.count() > 0
+    rows = got.collect()
+    sequences, tokens = defaultdict(list), Counter()
+    for r in rows:
+        key = (r.doc_id, r.start, r.length, r.ids_crc32, r.doc_tokens)
+        assert key in pieces or any(zlib.crc32(struct.pack(f"<{r.length}I", *ids[r.start : r.start + r.length])) == r.ids_crc32 for ids in long[r.doc_id, r.doc_tokens])
+        sequences[r.sequence_id].append((r.offset, r.length))
+        tokens.update((r.doc_id, r.doc_tokens, k) for k in range(r.start, r.start + r.length))
+    wanted = Counter((i, len(ids), k) for i, ids in expected for k in range(len(ids)))
+    assert tokens == wanted
+    sizes = []
+    for spans in sequences.values():
+        spans.sort()
+        assert [o for o, _ in spans] == [sum(n for _, n in spans[:k]) for k in range(len(spans))]
+        sizes.append(sum(n for _, n in spans))
+    assert max(sizes) <= 2048 and sum(n < 2048 for n in sizes) <= 1
 
 
 def test_empty(spark, corpus):
@@ -82,4 +150,21 @@ def test_empty(spark, corpus):
 
 def test_all_ten_are_registered():
     assert [int(re.match(r"op(\d+)_", k)[1]) for k in queries.QUERIES] == list(range(1, 11))
-    assert set(queries.SQL) <= set(queries.QUERIES)
+    assert set(queries.SQL) <= {*queries.QUERIES, *queries.MORE}
+
+
+@pytest.mark.parametrize("name", list(queries.SQL))
+def test_same_as_sql(spark, name):
+    """Queries with SQL, against DuckDB, on the smallest tables."""
+    from pathlib import Path
+
+    import duckdb
+
+    sf = "/root/testdata/sf0.001"
+    duck = duckdb.connect()
+    for p in Path(sf).glob("*.parquet"):
+        duck.sql(f"CREATE VIEW {p.stem} AS SELECT * FROM '{p}'")
+    got, expected = {**queries.QUERIES, **queries.MORE}[name](spark, sf), duck.sql(queries.SQL[name])
+    columns = sorted(got.columns)
+    assert columns == sorted(expected.columns)
+    assert pairs(got, *columns) == sorted((tuple(r[expected.columns.index(c)] for c in columns) for r in expected.fetchall()), key=repr)

@@ -12,7 +12,7 @@ Every task sorts nothing and holds the open windows and one batch only. Leftover
 they read by (doc_id, start, ...) so that a task that runs again emits the same sequences.
 
 Defined results: null text is empty, so its document is the end token alone; very long texts are
-many sequences; rows that share a doc_id are packed each on their own; a null doc_id stays null;
+many sequences; of windows with equal room the one opened first is taken; rows that share a doc_id are packed each on their own; a null doc_id stays null;
 an empty table gives no rows; columns other than doc_id and text are not read.
 """
 

@@ -8,7 +8,8 @@ so every byte of a text of CHUNK bytes or more is in a chunk. Nothing is learned
 no shuffle.
 
 Defined results: null or empty text has no words and fails the base rule; texts below the first
-length of BANDS have no band and are judged by the base rule alone; repeated rows return a row each;
+length of BANDS have no band and are judged by the base rule alone; very long texts are judged whole; a ratio
+equal to a limit is inside its band; repeated rows return a row each;
 an empty table gives no rows; columns other than doc_id and text are not read.
 """
 
@@ -48,7 +49,7 @@ def repeated_words(h: np.ndarray, width: int = REPEAT_WINDOW) -> int:
     if len(w) < 2:
         return 0
     order = np.sort(w)
-    twice = np.unique(order[1:][order[1:] == order[:-1]])
+    twice = H.distinct(order[1:][order[1:] == order[:-1]])
     if not len(twice):
         return 0
     at = np.minimum(np.searchsorted(twice, w), len(twice) - 1)

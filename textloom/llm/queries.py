@@ -47,10 +47,33 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_suffixes(table(spark, sf_dir, "documents"), with_bytes=False).drop("spans", "kept")
 
 
+OP2_SQL = r"""
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+w AS (SELECT doc_id, i, b[i:i + 199] AS k FROM (SELECT doc_id, b, unnest(range(1, octet_length(b) - 198)) AS i FROM d WHERE octet_length(b) >= 200)),
+t AS (SELECT k FROM w GROUP BY k HAVING count(*) > 1),
+h AS (SELECT doc_id, i, i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS gap FROM w SEMI JOIN t USING (k)),
+g AS (SELECT doc_id, i, sum(CASE WHEN gap <= 200 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM h),
+r AS (SELECT doc_id, run, min(i) AS first, max(i) + 199 AS last FROM g GROUP BY doc_id, run),
+x AS (SELECT doc_id, list(first ORDER BY first) AS firsts, list(last ORDER BY first) AS lasts, sum(last - first + 1) AS n_removed FROM r GROUP BY doc_id)
+SELECT doc_id, octet_length(b)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(len(firsts), 0)::BIGINT AS n_spans,
+  sha256(unhex(CASE WHEN firsts IS NULL THEN hex(b) ELSE array_to_string(list_transform(range(0, len(firsts) + 1), lambda j: hex(b[CASE WHEN j = 0 THEN 1 ELSE lasts[j] + 1 END:CASE WHEN j = len(firsts) THEN octet_length(b) ELSE firsts[j + 1] - 1 END])), '') END)) AS kept_sha256
+FROM d LEFT JOIN x USING (doc_id)
+"""
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "pages"))
 
 
+# base 32 of 160 bits: four letters for each five hexadecimal digits
+OP3_SQL = r"""
+SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, array_to_string(list_transform(range(0, 8), lambda g:
+    array_to_string(list_transform([15, 10, 5, 0], lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(sha1(coalesce(html, '')), 5 * g::INT + 1, 5))::INT >> k) & 31) + 1, 1)), '')), '') AS payload_digest,
+  CASE WHEN page_id = largest THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> largest THEN largest END AS refers_to, url
+FROM (SELECT *, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS largest FROM pages)
+"""
+
+
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -120,6 +143,29 @@ SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS
 FROM w LEFT JOIN r USING (doc_id)
 """
 
+#: Parts of queries that SQL can express as a whole.
+PARTS = {
+    "op6_url_filter_rules": (op6_url_filter, ("page_id", "host", "path", "rule"), r"""
+WITH u AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+s AS (SELECT *, '.' || host AS h FROM u)
+SELECT page_id, host, path, CASE WHEN host = '' THEN NULL WHEN ends_with(h, '.example.org') AND starts_with(path, '/en/1') THEN 'example.org/en/1'
+  WHEN ends_with(h, '.example.org') AND starts_with(path, '/es/') THEN 'example.org/es/' WHEN ends_with(h, '.com') AND starts_with(path, '/fr/') THEN 'com/fr/'
+  WHEN ends_with(h, '.com') AND starts_with(path, '/de/') THEN 'com/de/' WHEN ends_with(h, '.org') AND starts_with(path, '/') THEN 'org/' END AS rule
+FROM s
+"""),
+    "op9_quality_rules_base": (op9_quality_rules, ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"), r"""
+WITH w AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+s AS (SELECT doc_id, i, array_to_string(words[i:i + 7], ' ') AS k FROM (SELECT doc_id, words, unnest(range(1, len(words) - 6)) AS i FROM w WHERE len(words) >= 8)),
+c AS (SELECT doc_id, k FROM s GROUP BY doc_id, k HAVING count(*) > 1),
+r AS (SELECT doc_id, count(DISTINCT pos) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS pos FROM s JOIN c USING (doc_id, k)) GROUP BY doc_id),
+l AS (SELECT doc_id, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM w)
+SELECT doc_id, len(words)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+  (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words, len(words) < 20 OR 100 * coalesce(n, 0) > 30 * len(words) AS base_failed
+FROM w LEFT JOIN r USING (doc_id) JOIN l USING (doc_id)
+"""),
+}
+
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -133,11 +179,14 @@ QUERIES = {
     "op10_html_extraction": op10_html_extraction,
 }
 
-#: Operators of QUERIES on a further table.
-MORE = {"op7_language_id_pages": op7_language_id_pages}
+#: Operators of QUERIES on a further table, and those columns of QUERIES that SQL can express.
+MORE = {"op7_language_id_pages": op7_language_id_pages, **{k: lambda spark, sf_dir, make=make, columns=columns: make(spark, sf_dir).select(*columns) for k, (make, columns, _) in PARTS.items()}}
 
 SQL = {
     "op1_ngram_jaccard_join": OP1_SQL,
+    "op2_suffix_dedup": OP2_SQL,
+    "op3_warc": OP3_SQL,
     "op4_benchmark_decontamination": OP4_SQL,
     "op8_substring_dedup": OP8_SQL,
+    **{k: sql for k, (_, _, sql) in PARTS.items()},
 }
