@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm.common import materialize, table, without_ids
+from textloom.llm.common import discard, discard_since, made_tables, materialize, table, without_ids
 from textloom.llm.countmin_dedup import dedup_substrings
 from textloom.llm.decontaminate import contamination
 from textloom.llm.jaccard_join import jaccard_join
@@ -45,10 +45,14 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Removes words under 13-word windows that start in a smaller doc_id too; the words that are left
     are joined by single spaces, and a text that loses none stays as it is. n_chars follows the text.
     A document that loses all its words goes."""
-    got = dedup_substrings(docs, carry=F.struct(*(F.col(f"`{c}`") for c in docs.columns)))
+    # the text itself comes back from the operator, so only the other columns are carried along
+    others = [c for c in docs.columns if c != "text"]
+    got = dedup_substrings(docs, carry=F.struct(F.struct(*(F.col(f"`{c}`") for c in others)).alias("others"), F.col("text").isNull().alias("no_text")))
     got = got.where("n_removed = 0 OR n_removed < n_words")
-    new = {"text": F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("row.text")), "n_chars": F.when(F.col("n_removed") > 0, F.char_length("kept_text").cast("long")).otherwise(F.col("row.n_chars") if "n_chars" in docs.columns else F.lit(None))}
-    return got.select(*((new[c] if c in new else F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
+    new = {"text": F.when(~F.col("row.no_text"), F.col("kept_text"))}
+    if "n_chars" in others:
+        new["n_chars"] = F.when(F.col("n_removed") > 0, F.char_length("kept_text").cast("long")).otherwise(F.col("row.others.n_chars"))
+    return got.select(*((new[c] if c in new else F.col(f"row.others.`{c}`")).alias(c) for c in docs.columns))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -70,12 +74,17 @@ STAGES = [
     ("packing", packing),
 ]
 
-#: The first and the last stage can't be expressed in SQL; tests compare run() with a brute-force version.
+#: The first and the last stage can't be expressed in SQL; a test compares run() with a brute-force chain.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages in turn; what a stage wrote for itself, and its input, are deleted when the next is made."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        before = made_tables()
+        done = materialize(stage(spark, docs, sf_dir), name)
+        discard_since(before, done)
+        discard(docs)
+        docs = done
     return docs
