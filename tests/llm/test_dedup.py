@@ -4,12 +4,14 @@ import hashlib
 from collections import Counter
 
 import numpy as np
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.fixtures import SCHEMA, empty, pairs, rows
 from textloom.llm import jaccard_join as J
 from textloom.llm.countmin_dedup import dedup_substrings
+from textloom.llm.exchange import Route, messages
 from textloom.llm.graph import connected_components, spanning_forest
 from textloom.llm import suffix_dedup as S
 from textloom.llm.suffix_dedup import dedup_suffixes
@@ -266,3 +268,23 @@ def test_sketch_counts_documents(spark, monkeypatch):
         sketch = J.Sketch(base, 5, 16, lots)
         assert sketch(common).all()
         assert sketch(rare).mean() < 0.05
+
+
+def test_messages_over_relays(spark, docs):
+    """With more slices than the fan, bundles go over relays; the results are the same."""
+    data = [(r.doc_id, r.text) for r in docs.collect()]
+    small = {"slice_mb": 0.0005, "fan": 3}
+    assert pairs(J.jaccard_join(docs, 3, 90, 100, **small), "doc_id", "n_shingles", "component_id", "n_links") == joined(data, 3, 90)
+    assert pairs(dedup_substrings(docs, with_text=False, shard_mb=0.0002, **small), "doc_id", "n_words", "n_removed", "kept_sha256") == words_removed(data)
+    assert pairs(dedup_suffixes(docs, 64, 16, shard_mb=0.0002, hot=3, **small), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == bytes_removed(data, 64)
+
+
+def test_a_shard_sends_a_row_for_each_range():
+    way = Route(1000, 10)
+    made = messages({"slice": list(range(1000)), "shard": [25] * 1000, "row": [0] * 1000, "a": [b"%d" % i for i in range(1000)]})
+    sent = way.sending(lambda t: t)(made)
+    assert sent.num_rows == 10 and set(sent["shard"].to_pylist()) == {2}
+    first = sent.filter(pc.equal(sent["slice"], 4))
+    relayed = way._relay(first, False)
+    assert relayed.num_rows == 100 and relayed["slice"].to_pylist() == list(range(400, 500))
+    assert way._open(relayed)["a"].to_pylist() == [b"%d" % i for i in range(400, 500)]

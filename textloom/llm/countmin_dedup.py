@@ -32,23 +32,16 @@ from pyspark.sql import types as T
 
 from textloom.llm import hashing as H
 from textloom.llm.common import as_bytes, parts, trimmed, with_shard
+from textloom.llm.exchange import MESSAGE, Route, messages
 
 WIDTH = 13
 DEPTH = 2
-SHARD_MB = 4.0  # of the stored table
+SHARD_MB = 2.5  # of the stored table
 SLICE_MB = 8.0
 CELLS_PER_BYTE = 2  # of the stored table: some seven cells for each window of usual prose
 SEEDS = (np.uint64(0x8F14E45FCEEA167A), np.uint64(0x3C6EF372FE94F82B), np.uint64(0x510E527FADE682D1), np.uint64(0x1F83D9ABFB41BD6B))
 NO_ID = np.iinfo(np.int64).min
 
-MESSAGE = "slice int, shard int, row int, a binary, b binary, c binary"
-
-
-def _rows(kind: str, columns: dict) -> pa.Table:
-    types = {"slice": pa.int32(), "shard": pa.int32(), "row": pa.int32(), "a": pa.binary(), "b": pa.binary(), "c": pa.binary()}
-    return pa.table({k: pa.array(columns.get(k, [None] * len(columns["slice"])), t) for k, t in types.items()})
-
-
 def _ids(t: pa.Table) -> np.ndarray:
     return np.array([NO_ID if x is None else x for x in t["doc_id"].to_pylist()], np.int64)
 
@@ -78,7 +71,7 @@ def sketch(t: pa.Table, width: int, depth: int, n_slices: int, cells_log2: int)
             lo, hi = edges[s], edges[s + 1]
             for k, v in zip(out, (int(s), shard, row, H.pack(cells[lo:hi] >> np.uint64(64 - cells_log2)), np.packbits(n[lo:hi] > 1).tobytes())):
                 out[k].append(v)
-    return _rows(MESSAGE, out)
+    return messages(out)
 
 
 def merge_sketches(t: pa.Table) -> pa.Table:
@@ -96,7 +89,7 @@ def merge_sketches(t: pa.Table) -> pa.Table:
             for k, v in zip(out, (t["slice"][i].as_py(), shards[i], row, np.packbits(repeated[at : at + len(c)]).tobytes())):
                 out[k].append(v)
             at += len(c)
-    return _rows(MESSAGE, out)
+    return messages(out)
 
 
 def _keys(h: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
@@ -126,7 +119,7 @@ def candidates(t: pa.Table, replies: pa.Table, width: int, depth: int, n_slices:
     """Of the windows estimated repeated in every row: key and smallest doc_id in this shard."""
     out = {k: [] for k in ("slice", "shard", "row", "a", "b", "c")}
     if not t.num_rows:
-        return _rows(MESSAGE, out)
+        return messages(out)
     h, owner, at = _windows(as_bytes(t["text"]), width)
     doc = _ids(t)
     key = H.windows(h, width)[at] if len(at) else np.zeros(0, np.uint64)
@@ -153,7 +146,7 @@ def candidates(t: pa.Table, replies: pa.Table, width: int, depth: int, n_slices:
         lo, hi = edges[s], edges[s + 1]
         for k, v in zip(out, (int(s), shard, 0, H.pack(a[lo:hi]), b[lo:hi].astype(np.uint32).tobytes(), H.pack_any(ids[lo:hi]))):
             out[k].append(v)
-    return _rows(MESSAGE, out)
+    return messages(out)
 
 
 def group_exactly(t: pa.Table) -> pa.Table:
@@ -178,7 +171,7 @@ def group_exactly(t: pa.Table) -> pa.Table:
         if len(hit):
             for k, v in zip(out, (t["slice"][i].as_py(), t["shard"][i].as_py(), 0, H.pack(key[hit]), b[hit].astype(np.uint32).tobytes())):
                 out[k].append(v)
-    return _rows(MESSAGE, out)
+    return messages(out)
 
 
 RESULT = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("kept_text", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType())])
@@ -227,7 +220,7 @@ def remove(t: pa.Table, replies: pa.Table, width: int, with_text: bool, carry: b
     return pa.table({"doc_id": t["doc_id"].cast(pa.int64()), "kept_text": pa.array(kept, pa.binary()).cast(pa.string()), "n_words": pa.array(counts, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_sha256": pa.array(digests, pa.string()), **({"row": t["row"]} if carry else {})})
 
 
-def dedup_substrings(docs: DataFrame, width: int = WIDTH, depth: int = DEPTH, with_text: bool = True, carry: Column | None = None, shard_mb: float = SHARD_MB, slice_mb: float = SLICE_MB) -> DataFrame:
+def dedup_substrings(docs: DataFrame, width: int = WIDTH, depth: int = DEPTH, with_text: bool = True, carry: Column | None = None, shard_mb: float = SHARD_MB, slice_mb: float = SLICE_MB, fan: int | None = None) -> DataFrame:
     """Remove each word covered by a window of `width` words that also starts in a smaller doc_id.
 
     Returns doc_id, kept_text (kept words joined by a space, the text itself where nothing is removed;
@@ -239,8 +232,9 @@ def dedup_substrings(docs: DataFrame, width: int = WIDTH, depth: int = DEPTH, wi
     base = with_shard(docs, n_shards, *([] if carry is None else [carry.alias("row")]))
     carried = carry is not None
     result = RESULT if carry is None else T.StructType([*RESULT.fields, base.schema["row"]])
-    sent = base.groupBy("shard").applyInArrow(trimmed(lambda t: sketch(t, width, depth, n_slices, cells_log2)), MESSAGE)
-    bits = sent.groupBy("slice").applyInArrow(trimmed(merge_sketches), MESSAGE)
-    keys = base.groupBy("shard").cogroup(bits.groupBy("shard")).applyInArrow(trimmed(lambda a, b: candidates(a, b, width, depth, n_slices, cells_log2)), MESSAGE)
-    found = keys.groupBy("slice").applyInArrow(trimmed(group_exactly), MESSAGE)
-    return base.groupBy("shard").cogroup(found.groupBy("shard")).applyInArrow(trimmed(lambda a, b: remove(a, b, width, with_text, carried)), result)
+    way = Route(n_slices, fan)
+    sent = base.groupBy("shard").applyInArrow(trimmed(way.sending(lambda t: sketch(t, width, depth, n_slices, cells_log2))), MESSAGE)
+    bits = way.relayed(sent).groupBy("slice").applyInArrow(trimmed(way.sending(way.receiving(lambda t: merge_sketches(t)))), MESSAGE)
+    keys = base.groupBy("shard").cogroup(way.returned(bits).groupBy("shard")).applyInArrow(trimmed(way.sending(lambda a, b: candidates(a, way.opened(b), width, depth, n_slices, cells_log2))), MESSAGE)
+    found = way.relayed(keys).groupBy("slice").applyInArrow(trimmed(way.sending(way.receiving(lambda t: group_exactly(t)))), MESSAGE)
+    return base.groupBy("shard").cogroup(way.returned(found).groupBy("shard")).applyInArrow(trimmed(lambda a, b: remove(a, way.opened(b), width, with_text, carried)), result)

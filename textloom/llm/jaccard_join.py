@@ -42,6 +42,7 @@ from pyspark.sql import functions as F
 
 from textloom.llm import hashing as H
 from textloom.llm.common import as_bytes, bounded_batches, discard, materialize, parts, pieces, trimmed
+from textloom.llm.exchange import MESSAGE, Route, messages
 from textloom.llm.graph import connected_components, spanning_forest
 
 U = np.uint64
@@ -202,17 +203,19 @@ class Sketch:
         return pa.table({"segment": t["segment"][:1], "bits": pa.array([np.packbits(total > FREQUENT + 2 * total.mean()).tobytes()], pa.binary())})
 
 
-MESSAGE = "slice int, a binary, b binary, n int"
 FOUND = "kind int, a long, b long, c long, d long"
 
 
-def _describe(n: int, num: int, den: int, n_slices: int, frequent):
+def _describe(n: int, num: int, den: int, n_slices: int, frequent, way: Route):
     """Part prints of the sets of a batch, by slice, and what the batch has to tell of each document. Sets
     go by half of their print here: if two should agree in it, a cluster has some sets more."""
     bands = Bands(num, den)
 
     def described(batches):
-        turn, often = 0, frequent
+        from pyspark import TaskContext
+
+        task = TaskContext.get().partitionId()
+        turn, often = task, frequent
         for batch in pieces(batches):
             ids = [None if x is None else int(x) for x in batch.column("doc_id").to_pylist()]
             sets = ngram_sets(as_bytes(batch.column("text")), n)
@@ -239,7 +242,8 @@ def _describe(n: int, num: int, den: int, n_slices: int, frequent):
             if edges:
                 rows.append((turn % n_slices, H.pack_any(np.array(sorted(set(edges)), np.int64).reshape(-1)), None, -2))
             turn += 1
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.binary(), pa.binary(), pa.int32()))], ["slice", "a", "b", "n"])
+            made = messages({"slice": [r[0] for r in rows], "shard": [task] * len(rows), "row": [r[3] for r in rows], "a": [r[1] for r in rows], "b": [r[2] for r in rows]})
+            yield from way.sending(lambda t: t)(made).to_batches()
 
     return described
 
@@ -258,7 +262,7 @@ def _first_of_each(key: np.ndarray, doc: np.ndarray):
 def _meet(t: pa.Table) -> pa.Table:
     """A slice of all part prints: edges between sets that agree; passes on what batches told."""
     out, keys, docs = [], [], []
-    for a, b, n in zip(t["a"].to_pylist(), t["b"].to_pylist(), t["n"].to_pylist()):
+    for a, b, n in zip(t["a"].to_pylist(), t["b"].to_pylist(), t["row"].to_pylist()):
         if n == -1:
             m = H.unpack_any(a).reshape(-1, 5)
             out.append(np.column_stack([np.where(m[:, 1] == 1, 2, 0), m[:, 0], m[:, 2:]]))
@@ -480,7 +484,7 @@ def _blocks(member: DataFrame, ratio: float, block_mb: float) -> DataFrame:
     return got.withColumn("block", own).select("rep", "p", "q", "copies", "cluster", "block", pairs.alias("pairs"))
 
 
-def jaccard_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, slice_mb: float = SLICE_MB, block_mb: float = BLOCK_MB) -> DataFrame:
+def jaccard_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, slice_mb: float = SLICE_MB, block_mb: float = BLOCK_MB, fan: int | None = None) -> DataFrame:
     """Link documents whose sets of word n-grams have den * intersection >= num * union.
 
     Returns a row for each document: doc_id, n_shingles (size of its set), class_id (smallest doc_id
@@ -490,7 +494,9 @@ def jaccard_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, sli
     base = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     cells = parts(docs, CELL_BYTES * 1e-6 * (1 << LEAST_CELLS), 1)
     frequent = Sketch(base, n, min(MOST_CELLS, LEAST_CELLS + (cells - 1).bit_length()), parts(docs, LOT_MB, 1))
-    told = materialize(base.mapInArrow(trimmed(_describe(n, num, den, n_slices, frequent)), MESSAGE).groupBy("slice").applyInArrow(trimmed(_meet), FOUND), "jaccard")
+    way = Route(n_slices, fan)
+    sent = base.mapInArrow(trimmed(_describe(n, num, den, n_slices, frequent, way)), MESSAGE)
+    told = materialize(way.relayed(sent).groupBy("slice").applyInArrow(trimmed(way.receiving(lambda t: _meet(t))), FOUND), "jaccard")
     meta = told.where("kind <> 1").select(F.when(F.col("kind") == 0, F.col("a")).alias("doc_id"), F.col("b").alias("n_shingles"), F.col("c").alias("p"), F.col("d").alias("q"))
     named = meta.where("doc_id IS NOT NULL AND n_shingles > 0")
     classes = materialize(named.groupBy("p", "q", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")

@@ -45,6 +45,7 @@ from pyspark.sql import types as T
 
 from textloom.llm import hashing as H
 from textloom.llm.common import as_bytes, bounded_batches, parts, trimmed
+from textloom.llm.exchange import MESSAGE, TYPES, Route, messages
 
 LENGTH = 200
 GRAM = 48
@@ -56,12 +57,10 @@ SPLIT = 8
 BATCH_PIECES = 20_000
 U = np.uint64
 SPREAD = U(0x5BE0CD19137E2179)  # anchors are least hashes, so slices go by another one
-MESSAGE = "slice int, shard int, row int, a binary, b binary, c binary"
-_MESSAGE = {"slice": pa.int32(), "shard": pa.int32(), "row": pa.int32(), "a": pa.binary(), "b": pa.binary(), "c": pa.binary()}
 
 
 def _rows(rows: list[tuple]) -> pa.Table:
-    return pa.table({k: pa.array([r[i] for r in rows], t) for i, (k, t) in enumerate(_MESSAGE.items())})
+    return messages({k: [r[i] for r in rows] for i, k in enumerate(TYPES)})
 
 
 def _sliding_argmin(hashes: np.ndarray, width: int) -> np.ndarray:
@@ -450,7 +449,7 @@ def cut(t: pa.Table, replies: pa.Table, length: int, gram: int, n_slices: int, w
     return pa.table({"doc_id": t["doc_id"].cast(pa.int64()), **{f.name: pa.array([r[i] for r in rows], k) for i, (f, k) in enumerate(zip(RESULT.fields[1:], kinds))}})
 
 
-def dedup_suffixes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_bytes: bool = True, shard_mb: float = SHARD_MB, slice_mb: float = SLICE_MB, hot: int = HOT) -> DataFrame:
+def dedup_suffixes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_bytes: bool = True, shard_mb: float = SHARD_MB, slice_mb: float = SLICE_MB, hot: int = HOT, fan: int | None = None) -> DataFrame:
     """Returns for each document doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (starts and ends
     of removed runs, in turn, in bytes), kept (the remaining bytes; null unless with_bytes).
 
@@ -459,9 +458,10 @@ def dedup_suffixes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with
         raise ValueError("length must be a multiple of 8, and gram from 8 to less than it")
     n_shards, n_slices = parts(docs, shard_mb), parts(docs, slice_mb)
     base = bounded_batches(docs).select(F.pmod(F.xxhash64("doc_id"), F.lit(n_shards)).cast("int").alias("shard"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    told = base.groupBy("shard").applyInArrow(trimmed(lambda t: tell_pieces(t, length, gram, n_slices)), MESSAGE)
-    known = told.groupBy("slice").applyInArrow(trimmed(lambda t: compare_pieces(t, hot)), MESSAGE)
-    sent = base.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(trimmed(lambda a, b: send_orders(a, b, length, gram, n_slices)), MESSAGE)
-    merged = sent.groupBy("slice").applyInArrow(trimmed(lambda t: merge_shards(t, length)), MESSAGE)
+    way = Route(n_slices, fan)
+    told = base.groupBy("shard").applyInArrow(trimmed(way.sending(lambda t: tell_pieces(t, length, gram, n_slices))), MESSAGE)
+    known = way.returned(way.relayed(told).groupBy("slice").applyInArrow(trimmed(way.sending(way.receiving(lambda t: compare_pieces(t, hot)))), MESSAGE))
+    sent = base.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(trimmed(way.sending(lambda a, b: send_orders(a, way.opened(b), length, gram, n_slices))), MESSAGE)
+    merged = way.returned(way.relayed(sent).groupBy("slice").applyInArrow(trimmed(way.sending(way.receiving(lambda t: merge_shards(t, length)))), MESSAGE))
     answers = known.unionByName(merged)
-    return base.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(trimmed(lambda a, b: cut(a, b, length, gram, n_slices, with_bytes)), RESULT)
+    return base.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(trimmed(lambda a, b: cut(a, way.opened(b), length, gram, n_slices, with_bytes)), RESULT)
