@@ -113,7 +113,8 @@ BATCH_ROWS = 2000
 
 
 def bounded_batches(df: DataFrame) -> DataFrame:
-    """Let Arrow batches of the session hold BATCH_ROWS rows at most, as rows here are whole texts."""
+    """Let Arrow batches of the session hold BATCH_ROWS rows at most, as rows here are whole texts. Plans read
+    this setting when they run, after an operator has returned them, so it stays; README says so."""
     conf = df.sparkSession.conf
     if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) not in range(1, BATCH_ROWS + 1):
         conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))

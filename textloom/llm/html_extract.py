@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import random
 import re
+from array import array
 from html.parser import HTMLParser
 
 import numpy as np
@@ -121,8 +122,8 @@ def parse(html: str) -> Dom:
     return dom
 
 
-def features(dom: Dom) -> list[list[str]]:
-    """Feature names of each element."""
+def features(dom: Dom):
+    """Feature names of each element, one element after the other."""
     n = len(dom.tag)
     size, linked, paragraphs, fields = [0] * n, [0] * n, [0] * n, [0] * n
     for at, text in dom.text:
@@ -139,14 +140,12 @@ def features(dom: Dom) -> list[list[str]]:
         linked[p] += linked[i]
         paragraphs[p] += paragraphs[i]
         fields[p] += fields[i]
-    out = []
     for i in range(n):
         tag, share = dom.tag[i], -1 if not size[i] else min(3, 4 * linked[i] // size[i])
         names = [f"tag={tag}", f"links={share}", f"tag={tag},links={share}", f"fields={fields[i] > 0},{size[i] > 200}", f"tag={tag},own={own[i] > 20}"]
         names += [f"own>{k}" for k in (0, 40, 150) if own[i] > k] + [f"size>{k}" for k in (25, 100, 400) if size[i] > k]
         names += [f"paragraphs>{k}" for k in (0, 1, 3) if paragraphs[i] > k] + [f"part>{k}" for k in (1, 2, 3) if 4 * size[i] > k * size[0]]
-        out.append(names + [f"word={w}" for w in dict.fromkeys(dom.words[i])])
-    return out
+        yield names + [f"word={w}" for w in dict.fromkeys(dom.words[i])]
 
 
 _KIND = {t: k for k, tags in enumerate(KINDS) for t in tags}
@@ -156,7 +155,7 @@ class Forest:
     """The elements of several pages as arrays, by depth, for messages of whole levels."""
 
     def __init__(self, doms: list[Dom], number: dict[str, int], grow: bool = False):
-        parent, depth, kind, at, who = [], [], [], [], []
+        parent, depth, kind, at, who = (array("q") for _ in range(5))
         self.first = []
         for dom in doms:
             base = len(parent)
