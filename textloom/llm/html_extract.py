@@ -48,10 +48,11 @@ _ENDS = {
 }
 PARAGRAPH = frozenset("p pre blockquote li dd td".split())
 FIELD = frozenset("input textarea select button label option".split())
+INLINE = frozenset("a b i em strong span code small sub sup u s q cite abbr time mark font img kbd samp var del ins br".split())
 #: Kinds of children for the parent-child potentials; others are of the last kind.
-KINDS = (frozenset("p pre blockquote h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table tbody thead tr td th figure figcaption hr br address".split()), frozenset("a b i em strong span code small sub sup u s q cite abbr time mark font img kbd samp var del ins".split()), frozenset("div section main article center".split()), frozenset("nav header footer aside form fieldset menu dialog button label".split()), SILENT, frozenset())
+KINDS = (frozenset("p pre blockquote h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table tbody thead tr td th figure figcaption hr address".split()), INLINE, frozenset("div section main article center".split()), frozenset("nav header footer aside form fieldset menu dialog button label".split()), SILENT, frozenset())
 STEPS = 200
-PENALTY = 1.0
+PENALTY = 0.5
 _WORD = re.compile(r"[a-z]+")
 
 
@@ -149,6 +150,9 @@ def features(dom: Dom):
 
 
 _KIND = {t: k for k, tags in enumerate(KINDS) for t in tags}
+#: The kind of elements within a line that have no name: they have their parent's label, all but surely.
+PLAIN = len(KINDS)
+SAME = ((0.0, -12.0), (-12.0, 0.0))
 
 
 class Forest:
@@ -163,7 +167,7 @@ class Forest:
             for i, (p, tag) in enumerate(zip(dom.parent, dom.tag)):
                 parent.append(base + max(p, 0))
                 depth.append(depth[base + p] + 1 if i else 0)
-                k = _KIND.get(tag, len(KINDS) - 1)
+                k = PLAIN if tag in INLINE and not dom.words[i] else _KIND.get(tag, len(KINDS) - 1)
                 kind.append(2 * k + (i > 0 and dom.tag[p] in ("body", "html", "#root")))
             for i, names in enumerate(features(dom)):
                 if dom.tag[i] in SILENT:  # never text, wherever it stands: tells nothing
@@ -216,7 +220,8 @@ def fit(pages: list[str]) -> Model:
     y = np.concatenate([_labels(d) for d in doms]).astype(float)
     told = ~forest.silent
     told[forest.first] = False
-    model = Model(number, np.zeros(len(number)), np.zeros((2 * len(KINDS), 2, 2)))
+    model = Model(number, np.zeros(len(number)), np.zeros((2 * len(KINDS) + 2, 2, 2)))
+    model.step[2 * PLAIN :] = SAME
     truth = np.zeros((len(y), 2, 2))
     truth[np.arange(len(y)), y[forest.parent].astype(int), y.astype(int)] = 1
     rate, before = np.full(len(number) + model.step.size, 0.1), 0
@@ -226,6 +231,7 @@ def fit(pages: list[str]) -> Model:
         d = (truth - joint)[told]
         h = np.zeros_like(model.step)
         np.add.at(h, forest.kind[told], d)
+        h[2 * PLAIN :] = PENALTY * model.step[2 * PLAIN :]  # stays
         now = np.concatenate([g, (h - PENALTY * model.step).reshape(-1)])
         rate = np.clip(np.where(now * before > 0, rate * 1.2, np.where(now * before < 0, rate * 0.5, rate)), 1e-4, 0.5)
         move = np.sign(now) * rate
@@ -306,8 +312,8 @@ class _Maker:
     def furniture(self, mark: str = "") -> str:
         """What is not main text, of any kind, at any place."""
         r, w, n = self.r, self.words, self.name
-        m, s = w(4, 30), w(1, 6)
-        long = w(12, 45)
+        m, s = w(3, 16), w(1, 6)
+        long = w(10, 34)
         return r.choice([
             f"<nav{mark}><ul>{self.links()}</ul></nav>", f"<div {n('menu nav navigation navbar breadcrumb breadcrumbs topbar toc pagination pager')}{mark}><ul>{self.links()}</ul></div>", f"<ul {n('menu nav breadcrumb tags pagination')}{mark}>{self.links()}</ul>",
             f"<header{mark}><h1>{s}</h1><p>{m}</p></header>", f"<header{mark}><a href=/>{s}</a><nav><ul>{self.links()}</ul></nav></header>", f"<div {n('header masthead banner topbar')}{mark}><a href=/>{s}</a><p>{m}</p></div>",
@@ -332,6 +338,14 @@ class _Maker:
                 body.append(self.furniture(' data-y="0"'))
         if r.random() < 0.3:
             body.append(self.furniture(' data-y="0"'))
+        if r.random() < 0.15:  # verse, dialogue, long lists: nothing but short lines
+            line = r.choice(["<p>{}</p>", "<p>{}</p>", "<li>{}</li>", "<div>{}</div>", "<tr><td>{}</td></tr>"])
+            lines = "".join(line.format(self.words(1, 7)) for _ in range(r.choice([8, 20, 50, 120])))
+            body = [*body[:1], {"<l": f"<ul>{lines}</ul>", "<t": f"<table>{lines}</table>"}.get(line[:2], lines)]
+        elif r.random() < 0.35:  # prose and little else
+            body = [*body[:1], *(r.choice(["<p>{}</p>"] * 5 + ["<p><b>{}<br>", "<p><em>{}</em></p>", "<p><span>{}</span><br></p>"]).format(self.words(*r.choice([(4, 20), (10, 40), (20, 70)]))) for _ in range(r.choice([4, 8, 15, 30])))]
+            for _ in range(r.choice([0, 0, 1, 2])):
+                body.insert(r.randint(1, len(body)), r.choice([self.block(), self.furniture(' data-y="0"')]))
         inner, bare = "".join(body), ""
         kind = r.randrange(18) if only is None else only
         if kind < 3:
@@ -366,7 +380,7 @@ class _Maker:
         return f'<!DOCTYPE html><html data-y="0">{head}<body{bare}>{before}{main}{after}</body></html>'
 
 
-def labelled_pages(n: int = 800, seed: int = 11) -> list[str]:
+def labelled_pages(n: int = 1000, seed: int = 11) -> list[str]:
     """Labelled training pages: furniture of common kinds around and in main texts of common kinds."""
     return [_Maker(seed * 100_003 + i).page() for i in range(n)]
 
