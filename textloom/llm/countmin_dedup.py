@@ -36,7 +36,7 @@ from textloom.llm.exchange import MESSAGE, Route, messages
 
 WIDTH = 13
 DEPTH = 2
-SHARD_MB = 2.5  # of the stored table
+SHARD_MB = 2.0  # of the stored table
 SLICE_MB = 8.0
 CELLS_PER_BYTE = 2  # of the stored table: some seven cells for each window of usual prose
 SEEDS = (np.uint64(0x8F14E45FCEEA167A), np.uint64(0x3C6EF372FE94F82B), np.uint64(0x510E527FADE682D1), np.uint64(0x1F83D9ABFB41BD6B))

@@ -59,7 +59,7 @@ def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
 
 
-def blocks(texts: list[bytes], size: int = 1 << 20):
+def blocks(texts: list[bytes], size: int = 1 << 18):
     """Slices of texts of about size bytes in all: (first, last + 1)."""
     first = total = 0
     for i, t in enumerate(texts):

@@ -97,10 +97,13 @@ class Model:
 
     def means(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Mean log likelihoods of a trigram (texts x languages), and the numbers of trigrams."""
-        g, owner = trigrams(texts)
-        n = np.bincount(owner, minlength=len(texts))
-        total = np.stack([np.bincount(owner, row[g], minlength=len(texts)) for row in self.table], 1) if len(self.languages) else np.zeros((len(texts), 0))
-        return total / np.maximum(n, 1)[:, None], n
+        means, sizes = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts), np.int64)
+        for lo, hi in H.blocks(texts):
+            g, owner = trigrams(texts[lo:hi])
+            sizes[lo:hi] = n = np.bincount(owner, minlength=hi - lo)
+            for k, row in enumerate(self.table):
+                means[lo:hi, k] = np.bincount(owner, row[g], minlength=hi - lo) / np.maximum(n, 1)
+        return means, sizes
 
 
 def normal(language: Column) -> Column:
