@@ -107,6 +107,33 @@ def test_parts_meet(num):
     assert met > 200
 
 
+@pytest.mark.parametrize("rows", [0, 10, 200_000])
+def test_components_of_random_graphs(spark, monkeypatch, rows):
+    """Chains, stars and random edges, with maps joined or broadcast; the number of rounds stays small."""
+    from textloom.llm import graph as G
+
+    monkeypatch.setattr(G, "BROADCAST_ROWS", rows)
+    r = np.random.default_rng(rows)
+    edges = [(i, i + 1) for i in range(0, 60)] + [(1000, 2000 + i) for i in range(80)] + [tuple(x) for x in r.integers(5000, 5150, (110, 2)).tolist()]
+    root = {}
+
+    def find(v):
+        while root.setdefault(v, v) != v:
+            v = root[v]
+        return v
+
+    for a, b in edges:
+        if a != b:
+            p, q = sorted((find(a), find(b)))
+            root[q] = p
+    rounds = []
+    kept = G.materialize
+    monkeypatch.setattr(G, "materialize", lambda df, tag: rounds.append(tag) or kept(df, tag))
+    got = pairs(G.connected_components(spark.createDataFrame(edges, "src long, dst long")), "id", "label")
+    assert got == sorted(((v, find(v)) for v in root), key=repr)
+    assert rounds.count("step") <= 6
+
+
 def test_components(spark):
     e = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (4, 5), (9, 8), (7, 7), (8, 9), (None, 1)], "src long, dst long")
     assert pairs(connected_components(e), "id", "label") == [(i, 1) for i in range(1, 6)] + [(8, 8), (9, 8)]
