@@ -102,8 +102,11 @@ _count("subexpression_call", "documents", "doc_id", "text", r"(?<n>[0-9]{1,3})\.
 _count("case_fold_class", "documents", "doc_id", "text", "(?i)[ß]", "ß|ẞ|[sSſ][sSſ]")
 _count("absence_comment", "pages", "page_id", "html", "<!--(?~-->)-->", "(?s)<!--.*?-->")
 _count("conditional", "documents", "doc_id", "text", r"(\()?[0-9]{3}(?(1)\)|-)", r"\([0-9]{3}\)|[0-9]{3}-")
-_count("backreference", "documents", "doc_id", "text", r"\b([a-z]+) \1\b", None)
-_count("backreference_ignore_case", "documents", "doc_id", "text", r"(?i)\b([a-z]+) \1\b", None)
+# words that equal the next one, as a text of 1 and 0: a match takes a 1 and, as its second word is used up, what follows it
+_PAIRED = "SELECT doc_id, len(regexp_extract_all(array_to_string(list_transform(range(1, greatest(1, len(w))), lambda i: CASE WHEN regexp_full_match(w[i], '[a-z]+ ') AND rtrim(w[i], ' ') = regexp_replace(w[i + 1], '[^0-9A-Za-z_\\x{80}-\\x{10FFFF}]+$', '') THEN '1' ELSE '0' END), ''), '1[01]?'))::BIGINT AS n FROM (SELECT doc_id, regexp_extract_all(%s, '[0-9A-Za-z_\\x{80}-\\x{10FFFF}]+[^0-9A-Za-z_\\x{80}-\\x{10FFFF}]*') AS w FROM documents)"
+_count("backreference", "documents", "doc_id", "text", r"\b([a-z]+) \1\b", "0")
+_count("backreference_ignore_case", "documents", "doc_id", "text", r"(?i)\b([a-z]+) \1\b", "0")
+SQL["backreference"], SQL["backreference_ignore_case"] = _PAIRED % "text", _PAIRED % "lower(text)"
 
 # atomic and possessive parts keep what they took: `(?>e|er)s` never takes `ers`
 _count("atomic_alternatives", "documents", "doc_id", "text", "(?>e|er)s", "es")
