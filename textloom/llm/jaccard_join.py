@@ -52,11 +52,11 @@ CELL_BYTES, LEAST_CELLS, MOST_CELLS = 3, 20, 28
 LOT_MB = 1000.0  # of the stored table, whose counts are added up by one task a segment
 MOST_COUNTED = 65535
 FREQUENT = 16  # documents, and twice what a cell has on average
-SLICE_MB = 8.0
+SLICE_MB = 4.0
 BITS = 4096
 FANOUT = 4
 COARSE = 3  # levels above the leaves from which pairs of nodes are walked one by one
-BLOCK_MB = 16.0
+BLOCK_MB = 8.0
 SPREAD = 4
 SET_BYTES = 2048  # of a set besides its tokens: bitmaps of the tree, and objects
 BROADCAST_ROWS = 200_000
@@ -384,7 +384,7 @@ def _overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     place_a = [np.searchsorted(vocabulary, s) for s in a]
     step = 1 << 15
     for lo in range(0, len(vocabulary), step):
-        ma, mb = (np.zeros((len(p), step), np.float32) for p in (place_a, place_b))
+        ma, mb = (np.zeros((len(p), min(step, len(vocabulary) - lo)), np.float32) for p in (place_a, place_b))
         for m, places in ((ma, place_a), (mb, place_b)):
             for r, p in enumerate(places):
                 m[r, p[np.searchsorted(p, lo) : np.searchsorted(p, lo + step)] - lo] = 1
