@@ -23,6 +23,7 @@ from __future__ import annotations
 import random
 import re
 from array import array
+from functools import cache
 from html.parser import HTMLParser
 
 import numpy as np
@@ -385,6 +386,12 @@ def labelled_pages(n: int = 1000, seed: int = 11) -> list[str]:
     return [_Maker(seed * 100_003 + i).page() for i in range(n)]
 
 
+@cache
+def default_model() -> Model:
+    """The model of the labelled pages; fitted once for each driver."""
+    return fit(labelled_pages())
+
+
 SCHEMA = "page_id long, url string, text string, n_chars long"
 
 
@@ -399,4 +406,4 @@ def _run(model: Model):
 
 def extract_text(pages: DataFrame, model: Model | None = None) -> DataFrame:
     """A row for each page: page_id, url, text (empty if none), n_chars (its code points)."""
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html").mapInArrow(trimmed(_run(model or fit(labelled_pages()))), SCHEMA)
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html").mapInArrow(trimmed(_run(model or default_model())), SCHEMA)
