@@ -153,3 +153,32 @@ def test_options():
     assert Pattern("a.b", dot_all=True).engine.search("a\nb") is not None
     assert Pattern(" a b ", extended=True).engine.search("ab") is not None
     assert Pattern(r"\w", ascii_only=True).engine.search("é") is None
+
+
+@pytest.mark.parametrize(
+    "pattern, subject, expected",
+    [
+        (r"\G[a-z]", "abc de", ["a", "b", "c"]),
+        (r"(?=\Ga)\w+", "ab ab", ["ab"]),
+        (r"(?:\Ga|\Gb){1,2}?", "abxa", ["a", "b"]),
+        (r"\Gx|b", "xab", ["x", "b"]),
+        (r"(?!\Ga)a", "aaa", ["a"]),
+        (r"(?:\Ga)?b", "bxb", ["b", "b"]),
+        (r"\G", "ab", ["", "", ""]),
+        (r"\A(a)?(?(1)b|c)", "abc", ["ab"]),
+        (r"\A(a)?(?(1)b|c)|d", "xcd", ["d"]),
+    ],
+)
+def test_anchored_starts(pattern, subject, expected):
+    assert texts(Pattern(pattern, force_tier="L2"), subject) == expected
+
+
+@pytest.mark.parametrize("pattern", [r"\G[A-Za-z]", r"\A(a)?(?(1)b|c)"])
+def test_anchored_starts_are_tried_once(pattern, monkeypatch):
+    """What must begin where the search began, or at the start, is not tried at each letter of a text."""
+    from textloom.pattern.matcher import _State
+
+    runs, run = [], _State.run
+    monkeypatch.setattr(_State, "run", lambda self, entry, *a: runs.append(entry) or run(self, entry, *a))
+    assert texts(Pattern(pattern), "ab " + "c" * 1000) in (["a", "b"], ["ab"])
+    assert len(runs) <= 4
