@@ -1,3 +1,6 @@
+import tracemalloc
+
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from textloom.functions import matching as M
@@ -84,3 +87,37 @@ def test_replacing_and_splitting_by_any_pattern(spark):
     for pattern in ("[a-c]", "b|c+"):
         assert both(pattern, "L1") == both(pattern, "L2")
     assert both(r"(.)\1", None)[0] == ("<$1>b-<$1>$d", ["", "b-", "$d"])
+
+
+def test_lists_leave_piece_by_piece(monkeypatch):
+    """A worker holds the matches of a piece of a batch, not those of all its texts as Python objects."""
+    monkeypatch.setattr(M, "SLICE_BYTES", 1 << 16)
+    texts = pa.array(["<a> <é> <bc x>" * 600] * 80)
+    engine = M.compile_pattern("<([a-z]+)( x)?>").engine
+    tracemalloc.start()
+    rows = [len(x) for x in M._pieces(iter([texts]), lambda some: M._all(some, [engine] * len(some), True))]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(rows) == 80 and len(rows) > 4
+    assert peak < 4 * texts.nbytes, peak  # as one list of dicts they take 100 times as much
+
+
+def test_lists_over_several_pieces(spark):
+    long = "é<a> <bc x>" * 60_000
+    df = spark.createDataFrame([(0, long), (1, None), (2, ""), (3, "é<q>"), (4, long), (5, "none")], "k int, t string").coalesce(1)
+    got = {r.k: r.c for r in df.select("k", M.captures_all("t", r"<([a-z]+)( x)?>").alias("c")).collect()}
+    assert got[1] is None and got[2] == [] and got[5] == [] and got[0] == got[4] and len(got[0]) == 120_000
+    one = lambda m: (tuple(m.match), [g and tuple(g) for g in m.groups])
+    assert one(got[3][0]) == ((2, 5, "<q>"), [(3, 4, "q"), None])
+    assert [one(m) for m in got[0][2:4]] == [((14, 17, "<a>"), [(15, 16, "a"), None]), ((18, 24, "<bc x>"), [(19, 21, "bc"), (21, 23, " x")])]
+    # several functions of one and of many results in one row
+    row = df.where("k = 3").select(M.find_all("t", "[a-z]").alias("a"), M.find("t", "q").alias("b"), M.split("t", "(?=<)q?<").alias("c"), M.captures_all("t", "(z)|q").alias("d")).first()
+    assert [tuple(x) for x in row.a] == [(3, 4, "q")] == [tuple(row.b)] and row.c == ["é", "q>"] and one(row.d[0]) == ((3, 4, "q"), [None])
+
+
+def test_sql_functions_skip_rows_without_text(spark):
+    S.register(spark)
+    spark.createDataFrame([(1, "ab", "(a)|b"), (2, None, "("), (3, "x", None), (4, "", "y")], "id int, t string, p string").createOrReplaceTempView("rx_nulls")
+    got = spark.sql("SELECT rx_captures_all(t, p) c, rx_find_all(t, p) f FROM rx_nulls ORDER BY id").collect()
+    assert [[(m.match.text, [g and g.text for g in m.groups]) for m in r.c] if r.c is not None else None for r in got] == [[("a", ["a"]), ("b", [None])], None, None, []]
+    assert [[tuple(m) for m in r.f] if r.f is not None else None for r in got] == [[(0, 1, "a"), (1, 2, "b")], None, None, []]

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+from array import array
+from collections.abc import Iterator
+
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,7 +25,7 @@ def _column(c: Column | str) -> Column:
 
 
 class _Bytes:
-    """Byte offsets of code point positions of a text, mostly asked for in ascending order."""
+    """Byte offsets of code point positions of a text, each found from the one asked for before."""
 
     def __init__(self, text: str):
         self.text, self.plain, self.at, self.byte = text, text.isascii(), 0, 0
@@ -29,8 +34,9 @@ class _Bytes:
         if self.plain:
             return pos
         if pos < self.at:
-            self.at = self.byte = 0
-        self.byte += len(self.text[self.at : pos].encode())
+            self.byte -= len(self.text[pos : self.at].encode())
+        else:
+            self.byte += len(self.text[self.at : pos].encode())
         self.at = pos
         return self.byte
 
@@ -51,21 +57,90 @@ def _one(engine: Engine, captures: bool):
     return run
 
 
-def _all(engine: Engine, captures: bool):
-    def run(text: str):
-        byte, out = _Bytes(text), []
-        for got in engine.iterate(text):
-            match = _span(text, byte, got[:2])
-            out.append({"match": match, "groups": [_span(text, byte, g) for g in got[2]]} if captures else match)
-        return out
+class _Spans:
+    """Spans of texts, None for unset ones, as an Arrow array of MATCH; no Python object stays for any of them."""
+
+    def __init__(self):
+        self.start, self.end, self.unset, self.cuts, self.data = array("q"), array("q"), bytearray(), array("i", [0]), bytearray()
+
+    def add(self, text: str, byte: _Bytes, span) -> None:
+        self.unset.append(span is None)
+        self.start.append(0 if span is None else byte(span[0]))
+        self.end.append(0 if span is None else byte(span[1]))
+        self.data += b"" if span is None else text[span[0] : span[1]].encode()
+        self.cuts.append(len(self.data))
+
+    def made(self) -> pa.Array:
+        n = len(self.start)
+        numbers = (pa.Array.from_buffers(pa.int64(), n, [None, pa.py_buffer(x)]) for x in (self.start, self.end))
+        texts = pa.StringArray.from_buffers(n, pa.py_buffer(self.cuts), pa.py_buffer(self.data))
+        return pa.StructArray.from_arrays([*numbers, texts], fields=list(_MATCH), mask=pa.array(np.frombuffer(self.unset, np.bool_)))
+
+
+def _lists(cuts: list[int], nulls: list[bool], values: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), values, mask=pa.array(nulls, pa.bool_()))
+
+
+def _all(texts: list[str | None], engines: list[Engine | None], captures: bool) -> pa.Array:
+    """The matches of each text with its engine; null without a text or an engine."""
+    matches, groups, cuts, group_cuts = _Spans(), _Spans(), [0], [0]
+    nulls = [t is None or e is None for t, e in zip(texts, engines)]
+    for text, engine, null in zip(texts, engines, nulls):
+        if not null:
+            byte = _Bytes(text)
+            for start, end, spans in engine.iterate(text):
+                matches.add(text, byte, (start, end))
+                if captures:
+                    for g in spans:
+                        groups.add(text, byte, g)
+                    group_cuts.append(len(groups.start))
+        cuts.append(len(matches.start))
+    made = matches.made()
+    if captures:
+        made = pa.StructArray.from_arrays([made, pa.ListArray.from_arrays(pa.array(group_cuts, pa.int32()), groups.made())], fields=list(_CAPTURES))
+    return _lists(cuts, nulls, made)
+
+
+#: Bytes of text whose results are held as Python objects at once.
+SLICE_BYTES = 1 << 20
 
-    return run
+
+def _slices(texts: pa.Array):
+    """Where to cut an array of texts into pieces of SLICE_BYTES at most, or of one text: (first, how many)."""
+    first = held = 0
+    for i, n in enumerate(pc.fill_null(pc.binary_length(texts), 0).to_pylist()):
+        if i > first and held + n > SLICE_BYTES:
+            yield first, i - first
+            first, held = i, 0
+        held += n
+    if first < len(texts):
+        yield first, len(texts) - first
 
 
 def _arrow(column: Column, run, spark_type: T.DataType, arrow_type: pa.DataType) -> Column:
+    """One result for each text."""
+
     @F.arrow_udf(spark_type)
     def apply(texts: pa.Array) -> pa.Array:
-        return pa.array([None if t is None else run(t) for t in texts.to_pylist()], arrow_type)
+        made = [pa.array([None if t is None else run(t) for t in texts.slice(*x).to_pylist()], arrow_type) for x in _slices(texts)]
+        return pa.concat_arrays(made) if made else pa.array([], arrow_type)
+
+    return apply(column)
+
+
+def _pieces(batches: Iterator[pa.Array], run) -> Iterator[pa.Array]:
+    for texts in batches:
+        for x in _slices(texts):
+            yield run(texts.slice(*x).to_pylist())
+
+
+def _arrow_lists(column: Column, run, spark_type: T.DataType) -> Column:
+    """A list of results for each text, by a function from texts to an Arrow array. As lists may be many times larger
+    than texts, they leave piece by piece."""
+
+    @F.arrow_udf(spark_type)
+    def apply(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return _pieces(batches, run)
 
     return apply(column)
 
@@ -130,7 +205,8 @@ def find_text(column: Column | str, pattern: str | Pattern, **options) -> Column
 def find_all(column: Column | str, pattern: str | Pattern, **options) -> Column:
     """All matches in order as array<struct<start, end, text>>."""
     c, p = _column(column), compile_pattern(pattern, **options)
-    made = _arrow(_guard(c, p), _all(p.engine, False), T.ArrayType(MATCH), pa.list_(_MATCH))
+    engine = p.engine
+    made = _arrow_lists(_guard(c, p), lambda texts: _all(texts, [engine] * len(texts), False), T.ArrayType(MATCH))
     return made if not p.needed else F.when(c.isNotNull(), F.coalesce(made, F.array().cast(T.ArrayType(MATCH))))
 
 
@@ -161,7 +237,8 @@ def captures(column: Column | str, pattern: str | Pattern, **options) -> Column:
 def captures_all(column: Column | str, pattern: str | Pattern, **options) -> Column:
     """All matches and their groups, as an array of what captures() gives."""
     c, p = _column(column), compile_pattern(pattern, **options)
-    made = _arrow(_guard(c, p), _all(p.engine, True), T.ArrayType(CAPTURES), pa.list_(_CAPTURES))
+    engine = p.engine
+    made = _arrow_lists(_guard(c, p), lambda texts: _all(texts, [engine] * len(texts), True), T.ArrayType(CAPTURES))
     return made if not p.needed else F.when(c.isNotNull(), F.coalesce(made, F.array().cast(T.ArrayType(CAPTURES))))
 
 
@@ -229,7 +306,8 @@ def split(column: Column | str, pattern: str | Pattern, **options) -> Column:
                 at = end
         return [*out, text[at:]]
 
-    return F.coalesce(_arrow(_guard(c, p), run, T.ArrayType(T.StringType()), pa.list_(pa.string())), F.when(c.isNotNull(), F.array(c)))
+    made = _arrow_lists(_guard(c, p), lambda texts: pa.array([None if t is None else run(t) for t in texts], pa.list_(pa.string())), T.ArrayType(T.StringType()))
+    return F.coalesce(made, F.when(c.isNotNull(), F.array(c)))
 
 
 def highlight(column: Column | str, pattern: str | Pattern, before: str = "\x1b[1;31m", after: str = "\x1b[0m", **options) -> Column:

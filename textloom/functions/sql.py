@@ -7,12 +7,14 @@ the Columns of textloom.functions.matching are better: they may run in the JVM.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textloom.functions.matching import _CAPTURES, _MATCH, CAPTURES, MATCH, _all, _one
+from textloom.functions.matching import _CAPTURES, _MATCH, CAPTURES, MATCH, _all, _Bytes, _one, _slices
 from textloom.pattern.parse import PatternError
 from textloom.plans.planner import Engine, Pattern
 
@@ -30,7 +32,19 @@ def _engine(pattern: str) -> Engine:
 def _udf(make, spark_type: T.DataType, arrow_type: pa.DataType):
     @F.arrow_udf(spark_type)
     def apply(texts: pa.Array, patterns: pa.Array) -> pa.Array:
-        return pa.array([None if t is None or p is None else make(_engine(p))(t) for t, p in zip(texts.to_pylist(), patterns.to_pylist())], arrow_type)
+        made = [pa.array([None if t is None or p is None else make(_engine(p))(t) for t, p in zip(texts.slice(*x).to_pylist(), patterns.slice(*x).to_pylist())], arrow_type) for x in _slices(texts)]
+        return pa.concat_arrays(made) if made else pa.array([], arrow_type)
+
+    return apply
+
+
+def _udf_lists(captures: bool, spark_type: T.DataType):
+    @F.arrow_udf(spark_type)
+    def apply(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for texts, patterns in batches:
+            for x in _slices(texts):
+                some = texts.slice(*x).to_pylist()
+                yield _all(some, [None if t is None or p is None else _engine(p) for t, p in zip(some, patterns.slice(*x).to_pylist())], captures)
 
     return apply
 
@@ -41,9 +55,9 @@ class FindAll:
     def eval(self, text: str, pattern: str):
         if text is None or pattern is None:
             return
-        run = _all(_engine(pattern), False)
-        for i, m in enumerate(run(text)):
-            yield i + 1, m["start"], m["end"], m["text"]
+        byte = _Bytes(text)
+        for i, (start, end, _) in enumerate(_engine(pattern).iterate(text)):
+            yield i + 1, byte(start), byte(end), text[start:end]
 
 
 def register(spark: SparkSession) -> list[str]:
@@ -51,10 +65,10 @@ def register(spark: SparkSession) -> list[str]:
     made = {
         "rx_is_match": _udf(lambda e: lambda t: e.search(t) is not None, T.BooleanType(), pa.bool_()),
         "rx_find": _udf(lambda e: _one(e, False), MATCH, _MATCH),
-        "rx_find_all": _udf(lambda e: _all(e, False), T.ArrayType(MATCH), pa.list_(_MATCH)),
+        "rx_find_all": _udf_lists(False, T.ArrayType(MATCH)),
         "rx_count": _udf(lambda e: lambda t: sum(1 for _ in e.iterate(t)), T.LongType(), pa.int64()),
         "rx_captures": _udf(lambda e: _one(e, True), CAPTURES, _CAPTURES),
-        "rx_captures_all": _udf(lambda e: _all(e, True), T.ArrayType(CAPTURES), pa.list_(_CAPTURES)),
+        "rx_captures_all": _udf_lists(True, T.ArrayType(CAPTURES)),
     }
     for name, f in made.items():
         spark.udf.register(name, f)
