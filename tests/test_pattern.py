@@ -182,3 +182,30 @@ def test_anchored_starts_are_tried_once(pattern, monkeypatch):
     monkeypatch.setattr(_State, "run", lambda self, entry, *a: runs.append(entry) or run(self, entry, *a))
     assert texts(Pattern(pattern), "ab " + "c" * 1000) in (["a", "b"], ["ab"])
     assert len(runs) <= 4
+
+
+FOLDED = [r"(?i)\b([a-z]+) \1\b", r"(?i)([a-z])\1", r"(?i)(ss|s|k)x?\1", r"(?i)(\w+)-\1", r"(?i)(?<a>[kß]+)(s*)\k<a>", r"(?i)([st]+)(?-i:k)\1", r"(?i)(a*)\1k", r"(?i:(ß|k)(?:x|\1)\1)", r"(?i)(é+)\1", r"(?i)(s)((?i)\1)", r"(?i)((?-i:S)+)\1", r"(?i)(?=(s+))\1", r"([a-z]+)(?i)\1", r"(?i)(ﬁ|i)f?\1"]
+
+
+@pytest.mark.parametrize("pattern", FOLDED)
+def test_looking_ahead_for_folded_references_loses_nothing(pattern):
+    r = random.Random(pattern)
+    fast, plain = Pattern(pattern).engine, Pattern(pattern).engine
+    plain.matcher.ahead = None
+    found = 0
+    for _ in range(2500):
+        subject = "".join(r.choice("sSſßẞkK\u212aſtiIfﬁﬃéÉaAxX -- -" if r.random() < 0.7 else "sSkKaAx -") for _ in range(r.randrange(14)))
+        expected = list(plain.iterate(subject))
+        assert list(fast.iterate(subject)) == expected, subject
+        found += bool(expected)
+    assert found > 3
+
+
+def test_folded_references_are_looked_for_before_they_are_tried(monkeypatch):
+    from textloom.pattern.matcher import _State
+
+    runs, run = [], _State.run
+    monkeypatch.setattr(_State, "run", lambda self, entry, *a: runs.append(entry) or run(self, entry, *a))
+    text = "one two three für heiß " * 200 + "Der der SS ß. " + "ßa " * 200
+    assert texts(Pattern(r"(?i)\b([a-z]+) \1\b"), text) == ["Der der", "SS ß"]
+    assert len(runs) < 500
